@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import linking, repetition, split
+from docloom.llm import linking, repetition, residue, split
 from docloom.session import table
 
 
@@ -18,6 +18,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concepts.where("n > 1").select("concept_id").distinct()
 
 
+def p2_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "concepts"), "concept_id", ["body", "description"], "bundle")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_bad(spark, sf_dir).select("concept_id", "field").distinct()
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    concepts = table(spark, sf_dir, "concepts")
+    return residue.without_residue(concepts, "concept_id", ["body", "description"], p2_found(spark, sf_dir))
+
+
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.concept_groups(table(spark, sf_dir, "concepts"))
 
@@ -38,6 +51,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_bad": p2_bad,
+    "p2_clean": p2_clean,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
     "p7_found": p7_found,
