@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import linking, repetition, residue, split
+from docloom.llm import language, linking, repetition, residue, split
 from docloom.session import table
 
 
@@ -39,6 +39,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_groups(spark, sf_dir).where("group_size > 1").select("path", "group_path")
 
 
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.segment_languages(table(spark, sf_dir, "concepts"), "concept_id", "lang", "body")
+
+
+def p6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.text_languages(p6_segments(spark, sf_dir), "concept_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.mislabelled(p6_languages(spark, sf_dir), "concept_id")
+
+
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repetition.repetition_shares(table(spark, sf_dir, "concepts"), "concept_id", "body")
     return rows.withColumn("share", F.round("share", 9))
@@ -56,6 +68,9 @@ QUERIES = {
     "p2_clean": p2_clean,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p6_found": p6_found,
+    "p6_languages": p6_languages,
+    "p6_segments": p6_segments,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
 }
