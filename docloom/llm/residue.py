@@ -42,7 +42,7 @@ SCRIPT_DEMANDS = (
 )
 
 #: Spans that only templates write: {{x}}, {% x %}, ${x}, %%x%%, <<x>>, @@x@@, __X__
-CERTAIN_SPAN = r"\{\{[^{}\n]{0,80}\}\}|\{%[^{}\n]{0,80}%\}|\$\{[^{}\n]{0,80}\}|%%\p{L}[\p{L}\d_]{0,40}%%|<<\p{L}[\p{L}\d_ ]{0,40}>>|@@\p{L}[\p{L}\d_]{0,40}@@|(?<![\p{L}\d_])__\p{Lu}[\p{Lu}\d_]{0,40}?__(?![\p{L}\d_])"
+CERTAIN_SPAN = r"\{\{[^{}\n]{0,80}\}\}|\{%[^{}\n]{0,80}%\}|\$\{[^{}\n]{0,80}\}|%%\p{L}[\p{L}\d_]{0,40}%%|<<\p{L}[\p{L}\d_ ]{0,40}>>|@@\p{L}[\p{L}\d_]{0,40}@@|__(?<![\p{L}\d_]__)\p{Lu}[\p{Lu}\d_]{0,40}?__(?![\p{L}\d_])"
 #: Spans that also occur otherwise: [X] (no link, no spelled-out address), <x> (no tag), «X» (one word), #X#
 UNSURE_SPAN = r"\[(?!(?:at|dot|punkt|ät)\])\p{L}[\p{L}_ ]{1,40}\](?!\()|<(?!/?(?:html|head|title|body|h\d|p|br|b|i|a|div|span|noscript|script|table|tr|td|ul|li)\b)\p{L}[\p{L}_ ]{1,40}>|«\p{Lu}[\p{L}_]{1,40}»|#\p{Lu}[\p{Lu}_]{1,40}#"
 #: A line of a form that was never filled in.
@@ -70,21 +70,25 @@ def message_kind(message: Column) -> Column:
     )
 
 
-def _spans(value: Column, pattern: str, certain: bool) -> Column:
-    """array<struct<kind, certain, message>> of bracketed spans; the message is the name in the brackets, one however a template marks it."""
-    name = lambda span: F.trim(F.regexp_replace(F.lower(span), r"\|.*|[^\p{L}\d ]+", " "))
-    return F.transform(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), lambda span: F.struct(F.lit("placeholder").alias("kind"), F.lit(certain).alias("certain"), name(span).alias("message")))
+#: Some rule may speak about a sentence in lower case, numbers not yet masked.
+_TRIGGER = (
+    r"(?<![\p{L}\d_])(?:" + "|".join((*ERROR_PHRASES, *FILLER_PHRASES, SCRIPT_WORDS)).replace("0 ", r"\d+ ").replace(" 0", r" \d") + r")|^(?:tbd|tba|[\p{L}_]{2,30}: ?(?:\.\.\.|\[\.\.\.\]|path/to/\S*))$"
+)
+_SPAN_MARK = "\x01"
 
 
 def _found(values: DataFrame) -> DataFrame:
-    """_key, _source, field, kind, certain, message for each message of a value that a rule speaks about."""
+    """_key, _source, field, kind, certain, message for each message of a value that a rule speaks about; one pass over the text."""
     where = ["_key", "_source", "field"]
-    sentences = values.select(*where, F.explode(F.split("value", r"\n+|(?<=[.!?])\s+")).alias("sentence")).select(*where, masked(F.col("sentence")).alias("message"))
-    plain = sentences.select(*where, message_kind(F.col("message")).alias("kind"), F.lit(True).alias("certain"), "message").where(F.col("kind").isNotNull())
-    # Any bracketed span has one of these characters; most values have none of the pairs.
-    bracketed = values.where(F.col("value").rlike(r"[{<\[«%#_@]"))
-    spans = bracketed.select(*where, F.explode(F.concat(_spans(F.col("value"), CERTAIN_SPAN, True), _spans(F.col("value"), UNSURE_SPAN, False))).alias("m")).select(*where, "m.*")
-    return plain.unionByName(spans)
+    spans = F.transform(F.regexp_extract_all("value", F.lit(f"{CERTAIN_SPAN}|{UNSURE_SPAN}"), F.lit(0)), lambda span: F.concat(F.lit(_SPAN_MARK), span))
+    cut_up = values.select(*where, F.explode(F.concat(F.split("value", r"\n+|(?<=[.!?])\s+"), spans)).alias("part"))
+    parts = cut_up.select(*where, "part", F.col("part").startswith(_SPAN_MARK).alias("is_span")).where(F.col("is_span") | F.lower("part").rlike(_TRIGGER))
+    # The message of a span is the name in its brackets: one message however a template marks it.
+    name = F.trim(F.regexp_replace(F.lower("part"), r"\|.*|[^\p{L}\d ]+", " "))
+    parts = parts.select(*where, "part", "is_span", F.when(F.col("is_span"), name).otherwise(masked(F.col("part"))).alias("message"))
+    kind = F.when(F.col("is_span"), "placeholder").otherwise(message_kind(F.col("message")))
+    certain = ~F.col("is_span") | F.col("part").rlike(CERTAIN_SPAN)
+    return parts.select(*where, kind.alias("kind"), certain.alias("certain"), "message").where(F.col("kind").isNotNull())
 
 
 def residue(df: DataFrame, key: str, fields: list[str], source: str, least_sources: int = LEAST_SOURCES, least_rows: int = LEAST_ROWS) -> DataFrame:
