@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language, linking, repetition, residue, split
+from docloom.llm import language, linking, repetition, residue, shared_spans, split
 from docloom.session import table
 
 
@@ -60,6 +60,23 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetitive(table(spark, sf_dir, "concepts"), "concept_id", "body").select("concept_id").distinct()
 
 
+def _p10(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return shared_spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.document_pairs(*_p10(spark, sf_dir))
+
+
+def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p10(spark, sf_dir)[1]
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = shared_spans.shared_shares(table(spark, sf_dir, "documents"), "doc_id", "text", *_p10(spark, sf_dir))
+    return shares.withColumn("share", F.round("share", 9))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -73,6 +90,9 @@ QUERIES = {
     "p6_segments": p6_segments,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
+    "p10_found": p10_found,
+    "p10_spans": p10_spans,
+    "p10_shares": p10_shares,
 }
 
 _P4 = r"""
