@@ -8,8 +8,17 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did (a shared or equal path; else install it or pass --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
