@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language, linking, repetition, residue, shared_spans, split
+from docloom.llm import language, linking, mixture, repetition, residue, shared_spans, split
 from docloom.session import table
 
 
@@ -60,6 +60,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetitive(table(spark, sf_dir, "concepts"), "concept_id", "body").select("concept_id").distinct()
 
 
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    topic = F.regexp_extract("rel_path", r"([^/\d]+?)_?\d*\.[^./]+$", 1)  # what kind of paper it is, by its file's name
+    return mixture.mixture(table(spark, sf_dir, "documents"), "doc_id", "text", "source", "lang", topic, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares = mixture.mixture_shares(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return shares.withColumn("actual_share", F.round("actual_share", 9))
+
+
 def _p10(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return shared_spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -90,6 +100,8 @@ QUERIES = {
     "p6_segments": p6_segments,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_spans": p10_spans,
     "p10_shares": p10_shares,
