@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language, linking, mixture, repetition, residue, shared_spans, split
+from docloom.llm import language, leakage, linking, mixture, repetition, residue, shared_spans, split
 from docloom.session import table
 
 
@@ -60,6 +60,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetitive(table(spark, sf_dir, "concepts"), "concept_id", "body").select("concept_id").distinct()
 
 
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    return rows.withColumn("cosine", F.round("cosine", 4))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", paraphrases=False)
+    return rows.where("run_words >= 12").select("doc_id", "item_id").distinct()
+
+
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = F.regexp_extract("rel_path", r"([^/\d]+?)_?\d*\.[^./]+$", 1)  # what kind of paper it is, by its file's name
     return mixture.mixture(table(spark, sf_dir, "documents"), "doc_id", "text", "source", "lang", topic, table(spark, sf_dir, "mix_targets"))
@@ -100,6 +110,8 @@ QUERIES = {
     "p6_segments": p6_segments,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
@@ -131,7 +143,16 @@ hit as (select concept_id, count(distinct i + k) as n from later, range(8) t(k)
 r as (select w.concept_id, len(ws)::bigint as n_words, coalesce(hit.n, 0)::bigint as repeated_words from w left join hit using (concept_id))
 """
 
+_P8 = r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from documents where text is not null),
+i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ws from eval_items where text is not null),
+dg as (select doc_id, array_to_string(ws[p:p + 11], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 10)) as p from d where len(ws) >= 12)),
+ig as (select item_id, array_to_string(ws[p:p + 11], ' ') as g from (select item_id, ws, unnest(range(1, len(ws) - 10)) as p from i where len(ws) >= 12))
+select distinct doc_id, item_id from dg join ig using (g)
+"""
+
 ORACLE = {
+    "p8_found": _P8,
     "p1_found": "select concept_id from concepts where length(body) > 8000",
     "p4_found": _P4 + "select path, group_path from grp",
     "p7_found": _P7 + "select concept_id from r where n_words >= 16 and repeated_words >= 0.35 * n_words",
