@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language, leakage, linking, mixture, repetition, residue, shared_spans, split
+from docloom.llm import language, leakage, linking, mixture, personal, repetition, residue, shared_spans, split
 from docloom.session import table
 
 
@@ -31,6 +31,18 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(concepts, "concept_id", ["body", "description"], p2_found(spark, sf_dir))
 
 
+def p3_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_items(table(spark, sf_dir, "concepts"), "concept_id", "body", "identifiers", table(spark, sf_dir, "given_names"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_items(spark, sf_dir).select("concept_id", "field", "kind", "map_key", "start_at").distinct()
+
+
+def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.without_personal_items(table(spark, sf_dir, "concepts"), "concept_id", "body", "identifiers", table(spark, sf_dir, "given_names"))
+
+
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.concept_groups(table(spark, sf_dir, "concepts"))
 
@@ -103,6 +115,9 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_bad": p2_bad,
     "p2_clean": p2_clean,
+    "p3_found": p3_found,
+    "p3_items": p3_items,
+    "p3_masked": p3_masked,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
     "p6_found": p6_found,
