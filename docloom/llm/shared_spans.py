@@ -117,17 +117,16 @@ def common_spans(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
     return sorted(set(out))
 
 
-def distinct_texts(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """key, rep, text for each row with a text of at least `least` characters; rep is the smallest key of its exact copies."""
-    rows = df.where(F.length(text) >= least).select(F.col(key).alias("key"), F.col(text).alias("text"), F.unhex(F.md5(text)).alias("digest"))
+def representatives(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """key, rep for each row with a text of at least `least` characters; rep is the smallest key of its exact copies. Only digests are shuffled."""
+    rows = df.where(F.length(text) >= least).select(F.col(key).alias("key"), F.unhex(F.md5(text)).alias("digest"))
     reps = rows.groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep")
-    # Only copies need the join; texts themselves are not shuffled.
-    return rows.join(reps, "digest", "left").select("key", F.coalesce("rep", "key").alias("rep"), "text")
+    return rows.join(reps, "digest", "left").select("key", F.coalesce("rep", "key").alias("rep"))
 
 
-def candidate_pairs(reps: DataFrame, least: int) -> DataFrame:
-    """Different pairs a < b of texts with a common chosen window. The pairs of a window go out in rows of one text each, so no group is gathered in memory."""
-    kind = reps.schema["key"].dataType.simpleString()
+def candidate_pairs(texts: DataFrame, members: DataFrame, least: int) -> DataFrame:
+    """Different pairs a < b of representatives with a common chosen window. The pairs of a window go out in rows of one text each, so no group is gathered in memory."""
+    kind = texts.schema["key"].dataType.simpleString()
 
     def go(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -138,18 +137,20 @@ def candidate_pairs(reps: DataFrame, least: int) -> DataFrame:
             take = pa.array(np.concatenate(keys) if keys else [], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(np.concatenate(hashes).view(np.int64) if hashes else [], pa.int64())], names=["key", "hash"])
 
-    marks = cut(reps.select("key", "text").mapInArrow(go, f"key {kind}, hash bigint"))
+    copies = members.where("key <> rep").select("key")
+    marks = cut(texts.select("key", "text").mapInArrow(go, f"key {kind}, hash bigint").join(copies, "key", "left_anti"))
     shared = marks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     live = marks.join(shared, "hash")
     return live.select("hash", F.col("key").alias("a")).join(live.select("hash", F.col("key").alias("b")), "hash").where("a < b").select("a", "b").distinct()
 
 
-def span_pairs(reps: DataFrame, least: int) -> DataFrame:
+def span_pairs(texts: DataFrame, members: DataFrame, least: int) -> DataFrame:
     """a, b, start_a, start_b, length (positions from 1): maximal common spans of different texts a < b."""
-    kind = reps.schema["key"].dataType.simpleString()
-    texts = reps.select("key", "text")
-    pairs = candidate_pairs(reps, least)
-    joined = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    kind = texts.schema["key"].dataType.simpleString()
+    pairs = cut(candidate_pairs(texts, members, least))
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    live = texts.join(involved, "key", "left_semi")  # only texts of some pair go on
+    joined = pairs.join(live.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(live.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
 
     def go(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -165,9 +166,9 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = LEAST) -> tupl
     Texts shorter than `least` and null texts are in neither. Exact copies share one
     representative, the smallest key; keys must be unique. Both come from checkpoints.
     """
-    texts = cut(distinct_texts(df, key, text, least).select("key", "rep", F.when(F.col("key") == F.col("rep"), F.col("text")).alias("text")))
-    spans = cut(span_pairs(texts.where("key = rep"), least))
-    return texts.select("key", "rep"), spans
+    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    members = cut(representatives(df, key, text, least))
+    return members, cut(span_pairs(texts, members, least))
 
 
 def document_pairs(members: DataFrame, spans: DataFrame) -> DataFrame:
