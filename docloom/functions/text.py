@@ -106,7 +106,8 @@ def is_conflict(text: Column) -> Column:
 
 def named_section(body: Column, name: str, others: tuple[str, ...], level: str = "##") -> Column:
     """Text of one of several sections with fixed headings, '' if it is missing."""
-    return F.trim(F.regexp_extract(body, rf"(?s)(?:^|\n){level} {name}[ \t]*\n(.*?)(?=\n{level} (?:{'|'.join(others)})[ \t]*\n|\z)", 1))
+    found = F.regexp_extract(body, rf"(?s)(?:^|\n){level} {name}[ \t]*\n(.*?)(?=\n{level} (?:{'|'.join(others)})[ \t]*\n|\z)", 1)
+    return F.regexp_replace(found, r"(?U)^\s+|\s+$", "")
 
 
 def inline_html(text: Column) -> Column:
