@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 TOKEN = re.compile(r"[^\W_][\w.+\-]*@[\w\-]+(?:\.[\w\-]+)+|\+?[^\W_]+(?:[._+\-/][^\W_]+)*|[^\w\s]|_")
+TOKEN_OR_LINE = re.compile(TOKEN.pattern + r"|\n")
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 SHAPE_REACH = 2
 SUFFIX_REACH = 1
@@ -57,7 +58,7 @@ class Field:
         known = self._known
         if self._rows is None:
             self._rows = np.zeros((1, *self.tables[0].shape[1:]), np.float32)
-            known[""] = 0
+            known["\n"] = 0  # a line end says nothing to its neighbours
         new = list(dict.fromkeys(t for t in tokens if t not in known))
         if new:
             found = [features(t, self.listed) for t in new]
@@ -102,7 +103,7 @@ class Field:
         lengths = np.sort(lengths)
         at = 0
         while at < len(order):
-            to = int(np.searchsorted(lengths, max(lengths[at] * 1.15, lengths[at] + 2), "right"))
+            to = int(np.searchsorted(lengths, max(lengths[at] * 1.3, lengths[at] + 4), "right"))
             to = min(to, at + max(1, 400_000 // int(lengths[to - 1])))
             block, size = order[at:to], int(lengths[to - 1])
             best_of = self._viterbi(e, first[block], lengths[at:to], size)
@@ -113,23 +114,26 @@ class Field:
         return best
 
     def _viterbi(self, e: np.ndarray, first: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
-        index = first[:, None] + np.arange(size)
-        index = np.minimum(index, len(e) - 1)
-        score = self.start + e[index[:, 0]]
-        back = np.zeros((len(first), size, len(self.labels)), np.int8)
+        index = np.minimum(first[None, :] + np.arange(size)[:, None], len(e) - 1)
+        local = e[index]  # (size, sequences, labels)
+        onto = np.ascontiguousarray(self.moves.T)[None]  # to, from
+        score = self.start + local[0]
+        back = np.zeros((size, len(first), len(self.labels)), np.int8)
+        own = np.arange(len(self.labels), dtype=np.int8)
+        alive = np.searchsorted(lengths, np.arange(size), "right")  # sequences are sorted by length: those from here on go on
         for t in range(1, size):
-            way = score[:, :, None] + self.moves[None]
-            k = way.argmax(axis=1)
-            step = np.take_along_axis(way, k[:, None, :], 1)[:, 0] + e[index[:, t]]
-            live = (t < lengths)[:, None]
-            score = np.where(live, step, score)
-            back[:, t] = np.where(live, k, np.arange(len(self.labels)))
-        out = np.zeros((len(first), size), np.int8)
+            k = alive[t]
+            way = score[k:, None, :] + onto
+            back[t, k:] = way.argmax(axis=2)
+            score[k:] = way.max(axis=2) + local[t, k:]
+            back[t, :k] = own
+        out = np.zeros((size, len(first)), np.int8)
         now = score.argmax(axis=1)
+        rows = np.arange(len(first))
         for t in range(size - 1, -1, -1):
-            out[:, t] = now
-            now = back[np.arange(len(first)), t, now]
-        return out
+            out[t] = now
+            now = back[t, rows, now]
+        return out.T
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:

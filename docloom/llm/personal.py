@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.charbatch import batches
-from docloom.llm.crf import TOKEN, Field, train
+from docloom.llm.crf import TOKEN, TOKEN_OR_LINE, Field, train
 
 KINDS = ("email", "phone", "idnum", "address", "name")
 LABELS = ["", *KINDS]
@@ -647,43 +647,41 @@ def _holds(kind: str, text: str) -> bool:
 def items(texts: list[str], model: Field) -> Iterator[list[tuple[str, int, int]]]:
     """(kind, start, end) of the items of each text, 0-based; start is the first letter, digit or plus sign."""
     tokens: list[str] = []
-    spots: list[tuple[int, int]] = []
-    first: list[int] = []
-    line_of: list[tuple[int, int]] = []  # (text, end of its tokens)
-    for text in texts:
-        at = 0
-        for line in text.split("\n"):
-            if line:
-                before = len(tokens)
-                for m in TOKEN.finditer(line):
-                    tokens.append(m.group())
-                    spots.append((at + m.start(), at + m.end()))
-                if len(tokens) > before:
-                    first.append(before)
-            at += len(line) + 1
-        line_of.append((len(first), len(tokens)))
-    labels = model.decode(tokens, np.array(first, np.int64)) if tokens else np.zeros(0, np.int8)
-    starts = np.zeros(len(tokens) + 1, bool)
-    starts[first] = True
+    ends = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        tokens += TOKEN_OR_LINE.findall(text)
+        tokens.append("\n")
+        ends[i] = len(tokens)
+    # A sequence is a line, closed by its line end.
+    line_end = np.flatnonzero(np.fromiter((t == "\n" for t in tokens), bool, len(tokens)))
+    first = np.concatenate([[0], line_end[:-1] + 1]) if len(line_end) else np.zeros(0, np.int64)
+    labels = model.decode(tokens, first)
+    labels[line_end] = 0
     marked = np.flatnonzero(labels)
+    # Runs of neighbouring tokens with one label; no run crosses a line end, which has none.
+    cuts = np.flatnonzero((np.diff(marked) != 1) | (np.diff(labels[marked]) != 0)) + 1 if len(marked) else np.zeros(0, np.int64)
+    from_, to = (np.concatenate([marked[:1], marked[cuts]]), np.concatenate([marked[cuts - 1], marked[-1:]])) if len(marked) else (marked, marked)
+    line_of = np.searchsorted(line_end, from_)
+    text_of = np.searchsorted(ends, from_, side="right")
+    text_line = np.searchsorted(line_end, np.concatenate([[0], ends[:-1]]))  # first line of each text
     at = 0
-    for text, (_, end) in zip(texts, line_of, strict=True):
-        found: list[tuple[str, int, int]] = []
-        run: list[int] = []
-        while at < len(marked) and marked[at] < end:
-            t = int(marked[at])
-            if run and (t != run[-1] + 1 or labels[t] != labels[run[0]] or starts[t]):
-                found.append((LABELS[labels[run[0]]], spots[run[0]][0], spots[run[-1]][1]))
-                run = []
-            run.append(t)
-            at += 1
-        if run:
-            found.append((LABELS[labels[run[0]]], spots[run[0]][0], spots[run[-1]][1]))
-        out = []
-        for kind, a, b in found:
-            m = _FIRST.search(text, a, b)
-            if m and _holds(kind, text[m.start() : b]):
-                out.append((kind, m.start(), b))
+    for i, text in enumerate(texts):
+        out: list[tuple[str, int, int]] = []
+        if at < len(from_) and text_of[at] == i:
+            lines = text.split("\n")
+            line, offset, spots = -1, 0, []
+            while at < len(from_) and text_of[at] == i:
+                this = int(line_of[at] - text_line[i])
+                if this != line:
+                    offset += sum(len(s) + 1 for s in lines[max(line, 0) : this])
+                    line, spots = this, [m.span() for m in TOKEN.finditer(lines[this])]
+                before = int(first[line_of[at]])
+                a, b = offset + spots[from_[at] - before][0], offset + spots[to[at] - before][1]
+                kind = LABELS[labels[from_[at]]]
+                m = _FIRST.search(text, a, b)
+                if m and _holds(kind, text[m.start() : b]):
+                    out.append((kind, m.start(), b))
+                at += 1
         yield out
 
 
