@@ -31,7 +31,7 @@ SHORT_LETTERS = 60
 HOME_BONUS = 0.15
 TEMPERATURE = 0.02
 
-# Names of the languages, and their commonest words (the start of each prototype).
+# Names of the languages, and their commonest words.
 NAMES = {
     "de": ("de", "deu", "ger", "german", "deutsch"),
     "en": ("en", "eng", "english", "englisch"),
@@ -48,6 +48,15 @@ COMMON_WORDS = {
     "it": "di e il la che in a per un è del non con una da sono le si dei al i alla della lo come nel più anche ma ha se gli delle su o questo era ci tra quando mi suo loro essere sua dal molto nella stato io ho fatto prima tutto due dopo fra senza perché degli agli dalla sulla presso",
     "nl": "de het een en van in is dat op te zijn met voor niet aan er om ook als dan maar bij nog uit naar heeft ze hij werd door wordt over had kan meer geen deze zo tot al moet hebben worden wel je was die ik mijn onder tegen na zonder omdat veel toen wij jullie zou haar hun waar",
 }
+# A few sentences of everyday prose, so that small tables without usable labels have a start too.
+PROSE = {
+    "de": "Gestern haben wir den Brief erhalten und sofort an die zuständige Stelle weitergeleitet. Bitte schicken Sie uns die fehlenden Seiten bis zum Ende der Woche zurück. Wenn es noch Fragen gibt, können Sie uns jederzeit anrufen oder schreiben. Der Schlüssel liegt bei den Nachbarn im ersten Stock, weil niemand zu Hause war. Die Kinder gehen morgens zur Schule und kommen am Nachmittag wieder.",
+    "en": "Yesterday we received the letter and passed it on to the right office at once. Please send us the missing pages back before the end of the week. If there are any more questions, you can call or write to us whenever you like. The key is with the neighbours on the first floor because nobody was at home. The children walk to school every morning and come back in the afternoon.",
+    "fr": "Hier nous avons reçu la lettre et l'avons aussitôt transmise au service compétent. Veuillez nous renvoyer les pages manquantes avant la fin de la semaine. S'il reste des questions, vous pouvez nous appeler ou nous écrire quand vous voulez. La clé se trouve chez les voisins du premier étage parce que personne n'était à la maison. Les enfants vont à l'école le matin et reviennent l'après-midi.",
+    "es": "Ayer recibimos la carta y la enviamos enseguida a la oficina correspondiente. Les rogamos que nos devuelvan las páginas que faltan antes del fin de semana. Si quedan preguntas, pueden llamarnos o escribirnos cuando quieran. La llave está en casa de los vecinos del primer piso porque no había nadie. Los niños van al colegio por la mañana y vuelven por la tarde.",
+    "it": "Ieri abbiamo ricevuto la lettera e l'abbiamo subito inoltrata all'ufficio competente. Vi preghiamo di rimandarci le pagine mancanti entro la fine della settimana. Se ci sono ancora domande, potete chiamarci o scriverci quando volete. La chiave si trova dai vicini del primo piano perché in casa non c'era nessuno. I bambini vanno a scuola la mattina e tornano nel pomeriggio.",
+    "nl": "Gisteren hebben we de brief ontvangen en meteen doorgestuurd naar de juiste afdeling. Stuur ons de ontbrekende bladzijden alstublieft voor het einde van de week terug. Als er nog vragen zijn, kunt u ons altijd bellen of schrijven. De sleutel ligt bij de buren op de eerste verdieping omdat er niemand thuis was. De kinderen gaan 's ochtends naar school en komen 's middags weer naar huis.",
+}
 LANGUAGES = tuple(NAMES)
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßáàâéèêëíìîïóòôúùûñçœæ"
 SYMBOLS = len(LETTERS) + 1  # and 0 for anything else
@@ -123,12 +132,16 @@ def train(labelled: list[tuple[str, str]], rounds: int = 2) -> Profiles:
     sentences = [(code, s) for label, body in labelled if (code := label_language(label)) for _, s in sentences_of(body)]
     texts = [s for _, s in sentences]
     which = np.array([LANGUAGES.index(code) for code, _ in sentences], np.int64)
-    seeds = np.stack([gram_counts([COMMON_WORDS[code]]) for code in LANGUAGES], axis=1)
+    seeds = np.stack([gram_counts([COMMON_WORDS[code], PROSE[code]]) for code in LANGUAGES], axis=1)
 
     def bundle(named: np.ndarray) -> Profiles:
         return Profiles(seeds + np.stack([gram_counts([texts[i] for i in np.flatnonzero(named == k)]) for k in range(len(LANGUAGES))], axis=1))
 
-    profiles = bundle(which)
+    profiles = Profiles(seeds)
+    if texts:  # a label holds unless the start already tells another language
+        cosines = profiles.cosines(texts)
+        best, two = cosines.argmax(axis=1), np.sort(cosines, axis=1)
+        profiles = bundle(np.where(two[:, -1] - two[:, -2] > 2 * TEMPERATURE, best, which))
     for _ in range(rounds if texts else 0):
         profiles = bundle(profiles.cosines(texts).argmax(axis=1))
     return profiles

@@ -48,7 +48,7 @@ def rolling(codes: np.ndarray, length: int) -> np.ndarray:
 
 
 def smallest(values: np.ndarray, width: int) -> np.ndarray:
-    """Positions that hold the (leftmost) smallest value of some `width` consecutive values: block-wise prefix and suffix minima."""
+    """Positions whose values include the smallest of every `width` consecutive values (of equal ones, one is enough): block-wise prefix and suffix minima."""
     n = len(values)
     if n == 0:
         return np.zeros(0, np.int64)
@@ -166,7 +166,7 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = LEAST) -> tupl
     Texts shorter than `least` and null texts are in neither. Exact copies share one
     representative, the smallest key; keys must be unique. Both come from checkpoints.
     """
-    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    texts = df.where(F.length(text) >= least).select(F.col(key).alias("key"), F.col(text).alias("text"))
     members = cut(representatives(df, key, text, least))
     return members, cut(span_pairs(texts, members, least))
 
