@@ -198,7 +198,9 @@ def train(sequences: list[tuple[list[str], list[int]]], labels: list[str], liste
                 gr = np.zeros_like(weights[k])
                 for j, o in enumerate(OFFSETS):
                     if abs(o) <= reach[k]:
-                        np.add.at(gr[:, j], v[k, :, 3 + o : 3 + o + longest], error)
+                        at = v[k, :, 3 + o : 3 + o + longest].ravel()
+                        for c in range(n_labels):
+                            gr[:, j, c] = np.bincount(at, error[..., c].ravel(), minlength=len(gr))
                 gr[0] = 0
                 grads.append(gr)
             seen = np.zeros_like(moves)

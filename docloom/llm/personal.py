@@ -7,9 +7,10 @@ marks is checked for the least that an item of its kind must have.
 
 from __future__ import annotations
 
-import re
 import random
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -622,8 +623,14 @@ def labelled_sequences(given: list[str], fills: int = FILLS, seed: int = 5) -> l
     return [s for s in out if s[0]]
 
 
+@lru_cache(maxsize=4)
+def _fitted(given: tuple[str, ...]) -> Field:
+    return train(labelled_sequences(list(given)), LABELS, frozenset({*given, *GIVEN}))
+
+
 def fit(given: list[str]) -> Field:
-    return train(labelled_sequences(given), LABELS, frozenset({*given, *GIVEN}))
+    """The field for a list of given names; it depends on nothing else."""
+    return _fitted(tuple(sorted(set(given))))
 
 
 _FIRST = re.compile(r"\+?[^\W_]")

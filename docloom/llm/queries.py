@@ -166,7 +166,29 @@ ig as (select item_id, array_to_string(ws[p:p + 11], ' ') as g from (select item
 select distinct doc_id, item_id from dg join ig using (g)
 """
 
+_P10 = """
+with d as (select doc_id, text from documents where length(text) >= 300),
+r as (select text, min(doc_id) as rep, count(*) as copies from d group by 1),
+m as (select doc_id, rep, copies from d join r using (text)),
+w as (select rep, p, hash(text[p:p + 299]) as h from (select rep, text, unnest(range(1, length(text) - 298)) as p from r)),
+x as (select * from w where h in (select h from w group by 1 having count(distinct rep) > 1)),
+l as (select distinct a.rep as a, b.rep as b from x a join x b using (h) where a.rep <> b.rep)
+"""
+_P10_FOUND = _P10 + """
+select distinct x.doc_id as doc_id_a, y.doc_id as doc_id_b from m x join m y on x.rep = y.rep where x.doc_id < y.doc_id
+union select x.doc_id, y.doc_id from l join m x on x.rep = l.a join m y on y.rep = l.b where x.doc_id < y.doc_id
+"""
+_P10_SHARES = _P10 + """,
+c as (select rep, sum(step)::bigint as covered from (select rep, least(300, coalesce(p - lag(p) over (partition by rep order by p), 300)) as step from x) group by 1),
+k as (select a as rep, count(*) as links from l group by 1),
+t as (select doc_id, length(text)::int as n_chars, case when copies > 1 then length(text) else coalesce(covered, 0) end::int as shared_chars, coalesce(copies - 1, 0) + coalesce(links, 0) as n_links
+  from documents left join (select doc_id, rep, copies from m) using (doc_id) left join c using (rep) left join k using (rep) where text is not null)
+select doc_id, n_chars, shared_chars, round(case when n_chars > 0 then shared_chars / n_chars else 0 end, 9) as share, n_links from t
+"""
+
 ORACLE = {
+    "p10_found": _P10_FOUND,
+    "p10_shares": _P10_SHARES,
     "p8_found": _P8,
     "p1_found": "select concept_id from concepts where length(body) > 8000",
     "p4_found": _P4 + "select path, group_path from grp",
