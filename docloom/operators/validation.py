@@ -28,9 +28,8 @@ def _listed(missing: Column) -> Column:
     return F.concat(F.array_join(F.slice(missing, 1, MOST_EVIDENCE), ", "), more)
 
 
-def missing_citations(sources: Column, body: Column) -> Column:
-    """Sources whose name no source marker cites."""
-    cited = cited_sources(body)
+def missing_citations(sources: Column, cited: Column) -> Column:
+    """Sources whose name is not among the cited ones."""
     return F.filter(sources, lambda s: ~F.array_contains(cited, base_name(s)))
 
 
@@ -39,10 +38,18 @@ def missing_references(sources: Column, body: Column) -> Column:
     return F.filter(sources, lambda s: ~F.contains(body, s))
 
 
-def repeated_block(body: Column) -> Column:
-    """The first block of at least 40 normal characters that stands more than twice, or null (V6)."""
-    normal = F.filter(F.transform(blocks(body), normal_block), lambda b: F.length(b) >= LEAST_BLOCK)
-    return F.get(F.filter(F.array_distinct(normal), lambda b: F.size(F.filter(normal, lambda x: x == b)) > 2), F.lit(0))
+def long_blocks(body: Column) -> Column:
+    """Normal blocks of at least 40 characters."""
+    return F.filter(F.transform(blocks(body), normal_block), lambda b: F.length(b) >= LEAST_BLOCK)
+
+
+def repeated_block(normal: Column) -> Column:
+    """The first of the blocks that stands more than twice, or null (V6): in sorted order it equals the next but one."""
+    ordered = F.array_sort(normal)
+    many = F.size(normal) > 2
+    pairs = F.arrays_zip(F.slice(ordered, F.lit(1), F.greatest(F.size(normal) - 2, F.lit(0))).alias("a"), F.slice(ordered, F.lit(3), F.greatest(F.size(normal) - 2, F.lit(0))).alias("b"))
+    again = F.array_distinct(F.transform(F.filter(pairs, lambda p: p["a"] == p["b"]), lambda p: p["a"]))
+    return F.when(many, F.array_min(F.transform(again, lambda x: F.struct(F.array_position(normal, x).alias("at"), x.alias("block"))))["block"])
 
 
 def findings(concepts: DataFrame) -> DataFrame:
@@ -53,14 +60,16 @@ def findings(concepts: DataFrame) -> DataFrame:
     rows = concepts.where(F.col("okf_type").isin("FolderSummary", "Matter")).select(
         "concept_id", "path", "okf_type", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), F.coalesce("body", F.lit("")).alias("body")
     )
+    # Made once a row: inside a lambda they would be made again for each element.
+    rows = rows.withColumns({"_blocks": long_blocks(F.col("body")), "_cited": cited_sources(F.col("body"))})
     summary = F.col("okf_type") == "FolderSummary"
     n = F.size("sources")
-    missing = F.when(summary, missing_citations(F.col("sources"), F.col("body"))).otherwise(missing_references(F.col("sources"), F.col("body")))
+    missing = F.when(summary, missing_citations(F.col("sources"), F.col("_cited"))).otherwise(missing_references(F.col("sources"), F.col("body")))
     leaks = F.regexp_count("body", F.lit(LEAKED_TYPE))
     open_keys = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(OPEN_FIELD), F.lit(1)), F.lower)))
     meta = F.filter(F.array(*map(F.lit, META_PHRASES)), lambda p: F.contains(F.lower("body"), p))
     stripped = F.length(F.regexp_replace("body", r"(?U)^\s+|\s+$", ""))
-    again = repeated_block(F.col("body"))
+    again = repeated_block(F.col("_blocks"))
     checks = [
         _finding("sources", n > 0, F.lit("no sources")),
         F.when(n > 0, _finding("density", stripped / n >= LEAST_DENSITY, F.concat(F.floor(stripped / n).cast("string"), F.lit(" characters a source")))),
