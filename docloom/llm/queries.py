@@ -192,6 +192,7 @@ ORACLE = {
     "p8_found": _P8,
     "p1_found": "select concept_id from concepts where length(body) > 8000",
     "p4_found": _P4 + "select path, group_path from grp",
+    "p4_groups": _P4 + "select p.path, coalesce(group_path, p.path) as group_path, coalesce(group_size, 1) as group_size from (select distinct path from concepts where path is not null) p left join grp using (path)",
     "p7_found": _P7 + "select concept_id from r where n_words >= 16 and repeated_words >= 0.35 * n_words",
     "p7_shares": _P7 + "select concept_id, n_words, repeated_words, round(case when n_words > 0 then repeated_words / n_words else 0 end, 9) as share from r",
 }
