@@ -127,17 +127,27 @@ def gram_counts(texts: list[str]) -> np.ndarray:
     return np.bincount(_grams(code_points("  " + "\n\n".join(texts) + "\n\n")), minlength=SYMBOLS**3)
 
 
-def train(labelled: list[tuple[str, str]], rounds: int = 2) -> Profiles:
+def _seed_counts() -> np.ndarray:
+    return np.stack([gram_counts([COMMON_WORDS[code], PROSE[code]]) for code in LANGUAGES], axis=1)
+
+
+@lru_cache(maxsize=1)
+def _seed_profiles() -> Profiles:
+    """The start of every fit: fixed, so made once a process."""
+    return Profiles(_seed_counts())
+
+
+def train(labelled: list[tuple[str, str]], rounds: int = 1) -> Profiles:
     """Prototypes of labelled texts. Labels may be wrong and texts mixed: each round the sentences move to the language they are nearest to."""
     sentences = [(code, s) for label, body in labelled if (code := label_language(label)) for _, s in sentences_of(body)]
     texts = [s for _, s in sentences]
     which = np.array([LANGUAGES.index(code) for code, _ in sentences], np.int64)
-    seeds = np.stack([gram_counts([COMMON_WORDS[code], PROSE[code]]) for code in LANGUAGES], axis=1)
+    seeds = _seed_counts()
 
     def bundle(named: np.ndarray) -> Profiles:
         return Profiles(seeds + np.stack([gram_counts([texts[i] for i in np.flatnonzero(named == k)]) for k in range(len(LANGUAGES))], axis=1))
 
-    profiles = Profiles(seeds)
+    profiles = _seed_profiles()
     if texts:  # a label holds unless the start already tells another language
         cosines = profiles.cosines(texts)
         best, two = cosines.argmax(axis=1), np.sort(cosines, axis=1)
