@@ -211,6 +211,40 @@ def test_leaks_find_every_planted_run(spark):
     assert leakage.leaks(df, "doc_id", "text", frame(spark, [], "item_id int, t string"), "item_id", "t").count() == 0
 
 
+def leak_model(spark, docs, items):
+    df = frame(spark, [(t,) for t in docs], "text string")
+    return leakage.fit(df, "text", list(enumerate(items)))
+
+
+def test_exact_runs_need_no_cosine(spark):
+    r = random.Random(3)
+    words = lambda n: [f"w{r.randint(0, 2000)}" for _ in range(n)]
+    items = [" ".join(words(26)) for _ in range(5)]
+    docs = [" ".join(words(150)) for _ in range(40)]
+    model = leak_model(spark, docs, items)
+    for name in ("thresholds", "threshold"):  # no passage is a candidate
+        if hasattr(model, name):
+            setattr(model, name, getattr(model, name) * 0 + 9)
+    texts = [" ".join([*words(at), *items[2].split()[start : start + 12], *words(40)]) for at in (0, 1, 11, 12, 13, 24, 30) for start in (0, 14)]
+    cut = [" ".join(items[2].split()[:11]), " ".join(items[2].split()[11:22])]  # no run goes over the end of a text
+    assert {(t, i, n) for t, i, _, n, _, _ in leakage.search(texts + cut, model, False)} == {(t, 2, 12) for t in range(len(texts))}
+    assert leakage.search(["", "!"], model) == []
+
+
+def test_thresholds_hold_for_each_item_over_all_documents(spark):
+    r = random.Random(4)
+    items = [" ".join(f"q{i}x{k}" for k in range(24)) for i in range(30)] + [" ".join(f"c{k}" for k in range(24))]  # the last one of common words
+    head, tail = [[" ".join(f"{kind}{r.randint(0, 400)}" for _ in range(60)) + " " + " ".join(f"c{r.randint(0, 23)}" for _ in range(20)) for _ in range(n)] for kind, n in (("h", 250), ("t", 400))]
+    model = leak_model(spark, head + tail, items)
+    for i in (0, 7, 30):
+        own, least = items[i].split(), 9.0
+        for doc in tail[:100]:
+            p = leakage.Passages([" ".join(own[6:18] + doc.split()[10:22])])
+            sums, lengths = p.vectors(model.weights, model.table)
+            least = min(least, float((sums @ model.queries)[0, i] / lengths[0]))
+        assert model.thresholds[i] <= least
+
+
 # 9 mixture
 def test_mixture_reaches_its_shares(spark):
     r = random.Random(5)
