@@ -245,6 +245,27 @@ def test_thresholds_hold_for_each_item_over_all_documents(spark):
         assert model.thresholds[i] <= least
 
 
+def test_a_passage_paraphrases_every_item_near_to_it(spark):
+    r = random.Random(6)
+    words = lambda n: [f"w{r.randint(0, 2000)}" for _ in range(n)]
+    first = [f"q{k}" for k in range(24)]
+    second = [*first[:11], "other", *first[12:]]
+    third = [f"z{k}" for k in range(24)]
+    items = [" ".join(x) for x in (first, first, second, third)] + [" ".join(words(24)) for _ in range(5)]
+    docs = [" ".join(words(150)) for _ in range(40)]
+    model = leak_model(spark, docs, items)
+    changed = [w if k % 8 != 7 else f"changed{k}" for k, w in enumerate(first)]  # no run of 12
+    rows = leakage.search([" ".join(changed), docs[0]], model)
+    assert {(t, i) for t, i, _, n, *_ in rows if n == 0} == {(0, 0), (0, 1), (0, 2)}
+    # an exact run of one item hides no paraphrase of another
+    mixed = [*first[:6], "x1", *first[7:]]
+    rows = leakage.search([" ".join(mixed)], leak_model(spark, docs, [" ".join(mixed), *items[:2]]))
+    assert {(i, n > 0) for _, i, _, n, *_ in rows} == {(0, True), (1, True), (2, True)}
+    hidden = [*first[:11], "x1", *first[12:17], "x2", *first[18:]]
+    rows = leakage.search([" ".join(hidden)], leak_model(spark, docs, [" ".join(hidden), *items[:2]]))
+    assert {(i, n > 0) for _, i, _, n, *_ in rows} == {(0, True), (1, False), (2, False)}
+
+
 # 9 mixture
 def test_mixture_reaches_its_shares(spark):
     r = random.Random(5)
