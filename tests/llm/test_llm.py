@@ -266,6 +266,22 @@ def test_a_passage_paraphrases_every_item_near_to_it(spark):
     assert {(i, n > 0) for _, i, _, n, *_ in rows} == {(0, True), (1, False), (2, False)}
 
 
+def test_paraphrased_parts_of_long_items_are_found(spark):
+    r = random.Random(7)
+    words = lambda n: [f"w{r.randint(0, 2000)}" for _ in range(n)]
+    items = [" ".join(f"q{n}x{k}" for k in range(n)) for n in (20, 45, 60, 133, 400)]
+    docs = [" ".join(words(150)) for _ in range(40)]
+    model = leak_model(spark, docs, items)
+    for i, item in enumerate(items):
+        own = item.split()
+        for at in {0, max(0, len(own) // 2 - 24), max(0, len(own) - 40)}:
+            part = [w if k % 8 != 7 else f"changed{k}" for k, w in enumerate(own[at : at + 40])]  # no run of 12
+            rows = leakage.search([" ".join([*words(5), *part, *words(30)]), docs[0]], model)
+            assert {(t, i_) for t, i_, *_ in rows} == {(0, i)}, (i, at)
+    scattered = [w for k, w in enumerate(items[4].split()) if k % 16 == 0][:24]  # in order, but of no part
+    assert leakage.search([" ".join(scattered)], model) == []
+
+
 # 9 mixture
 def test_mixture_reaches_its_shares(spark):
     r = random.Random(5)
