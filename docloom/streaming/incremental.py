@@ -16,14 +16,13 @@ def stream_table(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def new_versions(scans: DataFrame, within: str = "30 days") -> DataFrame:
-    """Each (rel_path, version) once, whatever is delivered again within the watermark: state is bounded by it."""
-    rows = scans.where("rel_path is not null and sha256 is not null").withColumn("rel_path", clean_path(F.col("rel_path"))).withColumn("version", clean_hash(F.col("sha256")))
-    return rows.withWatermark("loaded_at", within).dropDuplicatesWithinWatermark(["rel_path", "version"])
+def new_versions(scans: DataFrame) -> DataFrame:
+    """Scans with a hash, with clean rel_path and version. No watermark: however late a scan is, it comes through; process_new drops what is delivered again."""
+    return scans.where("rel_path is not null and sha256 is not null").withColumn("rel_path", clean_path(F.col("rel_path"))).withColumn("version", clean_hash(F.col("sha256")))
 
 
 def process_new(versions: DataFrame, ledger: str, checkpoint: str, work: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Run work on each batch of versions that the ledger (a parquet folder) lacks, then append them to it.
+    """Run work once on each (rel_path, version) of a batch that the ledger (a parquet folder) lacks, then append them to it.
 
     A batch that is run again after a failure finds what it had finished in the ledger. The
     ledger of a batch is one folder named by it, overwritten if the batch is repeated.
@@ -31,6 +30,7 @@ def process_new(versions: DataFrame, ledger: str, checkpoint: str, work: Callabl
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
+        rows = rows.dropDuplicates(["rel_path", "version"])
         try:
             done = spark.read.parquet(ledger).where(F.col("batch") != number).select("rel_path", "version")
             rows = rows.join(done, ["rel_path", "version"], "left_anti")

@@ -287,3 +287,21 @@ def test_stream_ledger_processes_each_version_once(spark, tmp_path):
     spark.createDataFrame([scan("f/b.txt", "bb", 2), scan("f/c.txt", "cc", 3)], FILES).coalesce(1).write.parquet(str(tmp_path / "in" / "2"))
     run()
     assert sorted(seen) == ["f/a.txt", "f/b.txt", "f/c.txt"]
+
+
+def test_stream_ledger_takes_late_scans_of_a_later_run(spark, tmp_path):
+    from docloom.streaming import incremental as stream
+
+    seen = []
+
+    def run(number, rows):
+        df = spark.createDataFrame([scan(path, sha, 1) for path, sha, _ in rows], FILES)
+        at = F.to_timestamp(F.element_at(F.create_map(*(F.lit(x) for pair in {path: at for path, _, at in rows}.items() for x in pair)), F.col("rel_path")))
+        df.withColumn("loaded_at", at.cast(df.schema["loaded_at"].dataType)).coalesce(1).write.parquet(str(tmp_path / "in" / str(number)))
+        source = stream.stream_table(spark, str(tmp_path / "in" / "*"), FILES)
+        stream.process_new(stream.new_versions(source), str(tmp_path / "ledger"), str(tmp_path / "check"), lambda df: seen.extend(r.rel_path for r in df.collect()) or df).awaitTermination()
+
+    run(1, [("f/a.txt", "aa", "2024-06-01"), ("f/b.txt", "bb", "2024-06-02")])
+    run(2, [("f/c.txt", "cc", "2024-06-03")])
+    run(3, [("f/late.txt", "dd", "2024-01-01"), ("f/a.txt", "aa", "2024-01-01"), ("f/late.txt", "dd", "2024-01-01")])  # a backfill
+    assert sorted(seen) == ["f/a.txt", "f/b.txt", "f/c.txt", "f/late.txt"]
