@@ -70,19 +70,26 @@ def message_kind(message: Column) -> Column:
     )
 
 
-#: Some rule may speak about a sentence in lower case, numbers not yet masked.
+#: Some rule may speak about a sentence in lower case, numbers not yet masked, white space as it is.
 _TRIGGER = (
-    r"(?<![\p{L}\d_])(?:" + "|".join((*ERROR_PHRASES, *FILLER_PHRASES, SCRIPT_WORDS)).replace("0 ", r"\d+ ").replace(" 0", r" \d") + r")|^(?:tbd|tba|[\p{L}_]{2,30}: ?(?:\.\.\.|\[\.\.\.\]|path/to/\S*))$"
-)
+    r"(?<![\p{L}\d_])(?:" + "|".join((*ERROR_PHRASES, *FILLER_PHRASES, SCRIPT_WORDS)).replace("0 ", r"\d+ ").replace(" 0", r" \d").replace(" ", r"\s+")
+    + r")|^\s*(?:tbd|tba|[\p{L}_]{2,30}:\s*(?:\.\.\.|\[\.\.\.\]|path/to/\S*))[\s\x{85}\x{2028}\x{2029}]*$"
+)
 _SPAN_MARK = "\x01"
 
 
+def may_be_message(part: Column) -> Column:
+    """Holds for every sentence or line whose masked form a rule speaks about, and for few others."""
+    # The end of an address that is too long to mask whole begins a word in the masked form.
+    return F.lower(part).rlike(_TRIGGER) | ((F.length(part) > 200) & part.rlike(r"\S{200}"))
+
+
 def _found(values: DataFrame) -> DataFrame:
     """_key, _source, field, kind, certain, message for each message of a value that a rule speaks about; one pass over the text."""
     where = ["_key", "_source", "field"]
     spans = F.transform(F.regexp_extract_all("value", F.lit(f"{CERTAIN_SPAN}|{UNSURE_SPAN}"), F.lit(0)), lambda span: F.concat(F.lit(_SPAN_MARK), span))
     cut_up = values.select(*where, F.explode(F.concat(F.split("value", r"\n+|(?<=[.!?])\s+"), spans)).alias("part"))
-    parts = cut_up.select(*where, "part", F.col("part").startswith(_SPAN_MARK).alias("is_span")).where(F.col("is_span") | F.lower("part").rlike(_TRIGGER))
+    parts = cut_up.select(*where, "part", F.col("part").startswith(_SPAN_MARK).alias("is_span")).where(F.col("is_span") | may_be_message(F.col("part")))
     # The message of a span is the name in its brackets: one message however a template marks it.
     name = F.trim(F.regexp_replace(F.lower("part"), r"\|.*|[^\p{L}\d ]+", " "))
     parts = parts.select(*where, "part", "is_span", F.when(F.col("is_span"), name).otherwise(masked(F.col("part"))).alias("message"))
