@@ -245,14 +245,11 @@ def segments(bodies: list[str | None], profiles: Profiles) -> Iterator[list[tupl
                 r[5].append(text)
             else:
                 rows.append([at + 1, code, sure, len(words), letters, [text]])
-        # Messages of machines are short: look for them only where they could make the difference.
-        totals: dict[str, int] = {}
-        for r in rows:
-            totals[r[1]] = totals.get(r[1], 0) + r[3]
+        # Messages of machines don't count, however often they are repeated.
         out = []
         for r in rows:
-            if totals[r[1]] < 80 and any(map(_is_message, r[5])):
-                kept = [t for t in r[5] if not _is_message(t)]
+            kept = [t for t in r[5] if not _is_message(t)]
+            if len(kept) < len(r[5]):
                 found = [w for t in kept for w in _WORD.findall(t)]
                 r[3], r[4] = len(found), sum(map(len, found))
             if r[3]:

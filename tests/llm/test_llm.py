@@ -166,6 +166,15 @@ def test_languages(spark):
     assert all(0 < r.confidence <= 1 for r in segs.collect())
 
 
+def test_repeated_messages_are_no_language():
+    profiles = language._seed_profiles()
+    page = "The page you asked for could not be shown because the server sent an internal server error to your browser."
+    prose = "Die Rechnung für den Monat März wurde am Montag bezahlt und die Quittung liegt im Ordner bei den anderen Unterlagen der Familie."
+    for n in (1, 3, 10):
+        (own,) = language.segments([" ".join([prose] + [page] * n)], profiles)
+        assert {r[1] for r in own} == {"de"}
+
+
 # 7 repetition
 def repeated_brute(text, run=8):
     import re
