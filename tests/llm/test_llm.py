@@ -175,6 +175,18 @@ def test_repeated_messages_are_no_language():
         assert {r[1] for r in own} == {"de"}
 
 
+def test_fitting_moves_sentences_in_a_second_round():
+    r = random.Random(8)
+    words = {code: language._WORD.findall(language.PROSE[code]) for code in language.LANGUAGES}
+    mixed = lambda: " ".join(r.choice(words[r.choice(pair)]) for _ in range(9)).capitalize() + "."
+    labelled = []
+    for _ in range(150):
+        pair = r.sample(language.LANGUAGES, 2)
+        labelled.append((pair[0], " ".join(mixed() for _ in range(4))))
+    scores = [language.train(labelled, **kw).scores for kw in ({}, {"rounds": 2}, {"rounds": 1})]
+    assert np.array_equal(scores[0], scores[1]) and not np.array_equal(scores[0], scores[2])
+
+
 # 7 repetition
 def repeated_brute(text, run=8):
     import re
