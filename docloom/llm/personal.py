@@ -702,7 +702,9 @@ def with_placeholders(text: str, found: list[tuple[str, int, int]]) -> str:
 
 
 def _model(df: DataFrame, names: DataFrame | None, name_column: str) -> Field:
-    given = [] if names is None else [r[0] for r in names.where(F.col(name_column).isNotNull()).select(name_column).limit(NAMES_MOST).collect()]
+    given = [] if names is None else [r[0] for r in names.where(F.col(name_column).isNotNull()).select(name_column).limit(NAMES_MOST + 1).collect()]
+    if len(given) > NAMES_MOST:
+        raise ValueError(f"more than {NAMES_MOST} given names: use a shorter list")
     return fit(given)
 
 
@@ -712,7 +714,7 @@ def personal_items(df: DataFrame, key: str, text: str, identifiers: str, names:
     For the text, start_at and end_at are positions in characters, from 1, the end
     included; for the map of identifiers, start_at is the index in the list of map_key and
     end_at is null. Null texts, maps, lists and values hold nothing; repeated rows repeat.
-    names is a list of given names that helps (at most NAMES_MOST are taken); none is needed.
+    names is a list of given names that helps (more than NAMES_MOST are an error); none is needed.
     """
     model = df.sparkSession.sparkContext.broadcast(_model(df, names, name_column))  # bounded by the labelled table
     kind = df.schema[key].dataType.simpleString()

@@ -115,6 +115,16 @@ def test_items_and_placeholders(spark):
     assert personal.personal_items(df.limit(0), "id", "body", "ids").count() == 0
 
 
+def test_too_many_given_names_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(personal, "NAMES_MOST", 3)
+    monkeypatch.setattr(personal, "fit", lambda given: sorted(given))
+    names = frame(spark, [(n,) for n in ("Ada", "Bo", None, "Cy", "Di")], "given_name string")
+    df = frame(spark, [], "id int")
+    assert personal._model(df, names.where("given_name is null or given_name < 'D'"), "given_name") == ["Ada", "Bo", "Cy"]
+    with pytest.raises(ValueError, match="more than 3 given names"):
+        personal._model(df, names, "given_name")
+
+
 # 4 groups
 def test_contraction_against_union_find(spark):
     r = random.Random(7)

@@ -305,3 +305,10 @@ def test_stream_ledger_takes_late_scans_of_a_later_run(spark, tmp_path):
     run(2, [("f/c.txt", "cc", "2024-06-03")])
     run(3, [("f/late.txt", "dd", "2024-01-01"), ("f/a.txt", "aa", "2024-01-01"), ("f/late.txt", "dd", "2024-01-01")])  # a backfill
     assert sorted(seen) == ["f/a.txt", "f/b.txt", "f/c.txt", "f/late.txt"]
+
+
+def test_dashboard_tells_how_many_it_leaves_out(spark):
+    df = spark.createDataFrame([(f"p{i}", None, "Note", "text") for i in range(5)], "path string, title string, okf_type string, body string")
+    page = render.dashboard("t", {}, df, most=3)
+    assert page.count("<details>") == 3 and "2 more are not shown" in page
+    assert "not shown" not in render.dashboard("t", {}, df, most=5)
