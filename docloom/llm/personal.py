@@ -1,13 +1,12 @@
 """Problem 3: personal information in free text, found by a linear-chain CRF and replaced by typed placeholders.
 
-The field is trained from a small labelled table: sentences with marked slots, each filled
-in several notations. It decodes every line of every text by batched Viterbi. What it
+The field is trained from a small labelled table (personal_table.py): sentences with marked
+slots, each filled in several notations. It decodes every line of every text by batched Viterbi. What it
 marks is checked for the least that an item of its kind must have.
 """
 
 from __future__ import annotations
 
-import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,607 +18,17 @@ from pyspark.sql import functions as F
 
 from docloom.llm.charbatch import batches
 from docloom.llm.crf import TOKEN, TOKEN_OR_LINE, Field, train
+from docloom.llm.personal_table import GIVEN, LABELS, texts
 
-KINDS = ("email", "phone", "idnum", "address", "name")
-LABELS = ["", *KINDS]
-FILLS = 8
 NAMES_MOST = 10_000
 
-# The labelled table. {kind} marks an item; {other slots} are filled too, but are no items.
-LABELLED = """
-Die Unterlagen gingen an {email} in Kopie.
-Antworten bitte an {email} senden.
-E-Mail: {email}
-E-Mail: {email}.
-E-Mail: {email}. {prose}
-Email: {email}. {prose}
-E-mail: {email}
-E-mail: {email}. {prose}
-Correo: {email}. {prose}
-Courriel : {email}. {prose}
-Mail: {email}.
-{email}
-Please reply to {email} in writing.
-A copy went to {email} as well.
-Email: {email}
-Merci de répondre à {email} par écrit.
-Une copie est partie à {email} aussi.
-Courriel : {email}
-Responder a {email} por escrito.
-Una copia fue a {email} también.
-Correo: {email}
-Rispondere a {email} per iscritto.
-Una copia è andata a {email} per conoscenza.
-Posta: {email}
-Antwoord graag naar {email} sturen.
-Een kopie ging naar {email}.
-{key}: {email}
-kontakt: {email}
-Telefonisch erreichbar unter {phone_de} am Vormittag.
-Rückruf erbeten, {phone_de}.
-Tel. {phone_de}
-Tel.: {phone_de}. **Data**
-Fax: {phone_de}
-Fax: {phone_de}. {prose}
-Handy {phone_de}
-The desk can be reached on {phone_en} in the morning.
-Call back on {phone_en}.
-Phone: {phone_en}
-Fax: {phone_en}.
-Le service répond au {phone_fr} le matin.
-Merci de rappeler au {phone_fr}.
-Rappeler au {phone_fr}.
-Tél. {phone_fr}
-Tél. {phone_fr}. **Key data**
-Se atiende en el {phone_es} por la mañana.
-Llamar al {phone_es}.
-Devolver la llamada al {phone_es}.
-Tel.: {phone_es}
-L'ufficio risponde al {phone_it} la mattina.
-Richiamare {phone_it}.
-Richiamare il numero {phone_it}.
-Tel. {phone_it}
-Het loket is bereikbaar op {phone_nl} in de ochtend.
-Terugbellen op {phone_nl}.
-Graag terugbellen, {phone_nl}.
-Tel. {phone_nl}
-telefon: {phone_de}
-telefon: {phone_en}
-sonstiges: {phone_en}
-kontakt: {phone_en}
-sonstiges: {phone_de}
-sonstiges: {phone_fr}
-{key}: {phone_plus}
-telefon: {phone_plus}
-{phone_plus}
-Der Bescheid nennt Steuer-ID {taxid} als Merkmal.
-Hinterlegt ist die Steuer-ID {taxid}.
-Steuer-ID: {taxid}
-Steuerliche Identifikationsnummer: {taxid}.
-steuer_id: {taxid}
-Der Bescheid nennt Rentenversicherungsnummer {rvnr} als Merkmal.
-Hinterlegt ist die Rentenversicherungsnummer {rvnr}. {prose}
-Rentenversicherungsnummer: {rvnr}
-Sozialversicherungsnummer {rvnr}
-versicherungsnummer: {rvnr}
-{key}: {rvnr}
-Der Bescheid nennt Ausweisnummer {ausweis} als Merkmal.
-Hinterlegt ist die Ausweisnummer {ausweis}.
-Ausweisnummer: {ausweis}
-ausweisnummer: {ausweis}
-{key}: {ausweis}
-Der Bescheid nennt IBAN {iban} als Merkmal.
-Hinterlegt ist die IBAN {iban}.
-IBAN: {iban}
-IBAN : {iban}
-IBAN {iban}.
-{iban}
-{iban}.
-iban: {iban}
-{key}: {iban}
-sonstiges: {iban}
-The record shows IBAN {iban} for the insured.
-The record shows National Insurance number {nino} for the insured.
-National Insurance number: {nino}
-NINO: {nino}.
-NINO: {nino}
-sonstiges: {nino}
-The record shows social security number {ssn} for the insured.
-social security number: {ssn}
-SSN: {ssn}
-The record shows passport no. {passport} for the insured.
-passport no.: {passport}. **Kerndaten**
-passport no.: {passport}
-La fiche porte numéro de sécurité sociale {secu}.
-numéro de sécurité sociale : {secu}
-NIR : {secu}
-La fiche porte n° de passeport {passeport}.
-n° de passeport : {passeport}
-La fiche porte IBAN {iban}.
-La ficha indica DNI {dni}.
-DNI: {dni}
-La ficha indica NIE {nie}.
-NIE: {nie}
-La ficha indica IBAN {iban}.
-La scheda riporta codice fiscale {cf}.
-codice fiscale: {cf}
-C.F. {cf}
-La scheda riporta IBAN {iban}.
-carta d'identità: {carta}
-La scheda riporta carta d'identità {carta}.
-De kaart noemt burgerservicenummer {bsn}.
-burgerservicenummer: {bsn}
-BSN: {bsn}
-De kaart noemt BSN {bsn}.
-De kaart noemt paspoortnummer {paspoort}.
-paspoortnummer: {paspoort}
-De kaart noemt IBAN {iban}.
-ausweisnummer: {passport}
-ausweisnummer: {passeport}
-ausweisnummer: {dni}
-ausweisnummer: {paspoort}
-versicherungsnummer: {nino}
-versicherungsnummer: {ssn}
-versicherungsnummer: {secu}
-steuer_id: {cf}
-steuer_id: {bsn}
-Die Anschrift lautet {address_de}.
-Der Umzug führte nach {address_de}. {ref}
-Der Umzug führte nach {address_de}
-Zustellung an: {address_de}
-Anschrift: {address_de}
-anschrift: {address_de}
-sonstiges: {address_de}
-{key}: {address_de}
-The address on file is {address_en}.
-They moved to {address_en}.
-Deliver to: {address_en}
-The address on file is {address_en}
-anschrift: {address_en}
-L'adresse connue est {address_fr}.
-Le déménagement menait au {address_fr}.
-Ils ont déménagé au {address_fr}.
-Livrer à : {address_fr}
-La dirección registrada es {address_es}.
-Se mudaron a {address_es}.
-Entregar en: {address_es}
-L'indirizzo noto è {address_it}.
-Il trasloco portava in {address_it}.
-Consegnare a: {address_it}
-Het bekende adres is {address_nl}.
-De verhuizing ging naar {address_nl}.
-Bezorgen bij: {address_nl}
-Später rief {name} noch einmal an.
-Das Fahrrad gehört {name} aus dem Hinterhaus.
-Das Gespräch mit {name} verlief ruhig.
-Unterschrieben von {name}, Sachbearbeitung.
-gez. {name}
-gez. {name}. {prose}
-Ansprechpartner: {name}
-Ansprechpartnerin: {name}.
-Zuständig war in dieser Sache Herr {surname}.
-Zuständig war in dieser Sache Frau {surname}.
-Zuständig war in dieser Sache Herr Dr. {surname}.
-Zuständig war in dieser Sache Frau Prof. {surname}.
-Zuständig war in dieser Sache Frau {name}.
-Zuständig war in dieser Sache Herr {name}.
-Zuständig war in dieser Sache Frau Dr. {name}.
-Later {name} rang once more.
-The bicycle belongs to {name} from the back house.
-A conversation with {name} settled the rest.
-Signed, {name}
-Signed, {name}.
-Contact: {name}
-Contact: {name}. {prose}
-The file was handled by Mrs {surname}.
-The file was handled by Mr {surname}.
-The file was handled by Ms {name}.
-The file was handled by Dr {name}.
-The file was handled by Dr {surname}.
-The file was handled by Prof. {surname}.
-Plus tard {name} a rappelé.
-Plus tard, {name} a rappelé une fois.
-Le vélo appartient à {name} du deuxième.
-L'entretien avec {name} s'est bien passé.
-Signé : {name}
-Signé : {name}.
-Le dossier est suivi par M. {surname}.
-Le dossier est suivi par Mme {surname}.
-Le dossier est suivi par Mme {name}.
-Le dossier est suivi par Dr {name}.
-Le dossier est suivi par Me {surname}.
-Contact : {name}
-Interlocuteur : {name}
-Más tarde {name} volvió a llamar.
-La bicicleta es de {name} del segundo.
-La bicicleta pertenece a {name} del segundo.
-La charla con {name} aclaró el resto.
-Firmado: {name}
-Firmado: {name}. **Data**
-Contacto: {name}
-El expediente lo lleva el Sr. {surname}.
-El expediente lo lleva la Sra. {surname}.
-El expediente lo lleva D. {surname}.
-El expediente lo lleva D.ª {surname}.
-El expediente lo lleva la Sra. {name}.
-El expediente lo lleva el Dr. {name}.
-Più tardi {name} ha richiamato.
-La bicicletta è di {name} del secondo piano.
-La bicicletta appartiene a {name} del secondo piano.
-Il colloquio con {name} ha chiarito il resto.
-Firmato: {name}
-Referente: {name}
-La pratica è seguita da il sig. {surname}.
-La pratica è seguita da la sig.ra {surname}.
-La pratica è seguita da il dott. {name}.
-La pratica è seguita da la dott.ssa {surname}.
-Later belde {name} nog een keer.
-De fiets is van {name} van de tweede verdieping.
-De fiets hoort bij {name} van het achterhuis.
-Het gesprek met {name} verliep rustig.
-Getekend: {name}
-Contactpersoon: {name}
-Het dossier ligt bij de heer {surname}.
-Het dossier ligt bij mevrouw {surname}.
-Het dossier ligt bij mevrouw {name}.
-Het dossier ligt bij dr. {surname}.
-Het dossier ligt bij de heer {name}.
-kontakt: {name}
-sonstiges: {name}
-Kundennummer {num}.
-Rechnungsnummer {num}.
-Sendungsnummer {num}.
-Artikel {numdash}.
-Vorgang {proc}.
-Zählerstand {reading}.
-Bestellnummer {num}.
-- Bestellnummer: {num}
-- Kundennummer: {num}
-- Rechnungsnummer: {num}
-- Vertragsnummer: {num}
-- Aktenzeichen: {num}
-- Zählernummer: {num}
-- Personalnummer: {num}
-- Mitgliedsnummer: {num}
-- {date}
-- {date} {prose}
-Customer number {num}.
-Invoice number {num}.
-Item {numdash}.
-Meter reading {reading}.
-Tracking number {num}.
-- Contract number: {num}
-- Invoice number: {num}
-- Order number: {num}
-- Customer number: {num}
-- File reference: {num}
-- Meter number: {num}
-Numéro client {num}.
-Facture {num}.
-Colis {num}.
-- Référence dossier: {num}
-- Numéro facture: {num}
-- Numéro contrat: {num}
-- Numéro commande: {num}
-- Numéro compteur: {num}
-Número de cliente {num}.
-Factura {num}.
-Paquete {num}.
-- Expediente: {num}
-- Número contador: {num}
-- Número contrato: {num}
-- Número pedido: {num}
-Numero cliente {num}.
-Fattura {num}.
-Pacco {num}.
-- Numero ordine: {num}
-- Numero pratica: {num}
-- Numero contatore: {num}
-Klantnummer {num}.
-Factuur {num}.
-Pakket {num}.
-- Dossiernummer: {num}
-- Klantnummer: {num}
-- Meternummer: {num}
-kundennummer: {num}
-betriebsnummer: {num}
-zaehlernummer: {num}
-vertragsnummer: {num}
-aktenzeichen: {num}
-mitgliedsnummer: {num}
-rechnungsnummer: {num}
-customer_no: {num}
-referenz: {num}
-{key}: {dummy}
-{key}: {num}
-_Source: {file}_
-## {title} {town}
-# {title}
-- [{folder}.md](../strom/2020/{folder}/{folder}.md)
-Im Rahmen der Prüfung verbuchte die {org_de} die Rechnung {ref} über {amount} Euro, wie zuvor mit {firm} besprochen, nach dem Umzug nach {town}.
-Nach Rücksprache am Telefon bestätigte die {org_de} den Vertrag {firm}, soweit es {town} betraf, gemeinsam mit {firm}.
-Am {date} kündigte die {firm} Bank die Ablesung des Zählers {small}, anders als im Heft {ref} notiert, bei der Filiale {town}.
-Laut Aushang in {town} meldete der Verein {firm} die Police {firm} Plus bis zur Klärung durch {firm}.
-Mit Schreiben vom {date} prüfte die {firm} Versicherung das Guthaben aus März {year} für die Wohnung im {small}. Stock.
-Gegen Mitte März erstattete die Praxis {firm} den Bescheid aus {town}, obwohl {firm} widersprochen hatte.
-Für das Jahr {year} archivierte die {org_de} den Antrag auf Zuschuss für {town} zugunsten der Hausgemeinschaft {town}.
-After a call with the office, {org_en} confirmed invoice {ref} over {amount} pounds, as discussed with {firm} before, after the move to {town}.
-On {date}, {firm} Bank took over the reading of meter {small}, unlike the entry in booklet {ref}, for the flat on floor {small}.
-At the end of the quarter, {org_en} booked the {firm} policy through the {firm} portal.
-According to the notice in {town}, the {firm} surgery archived quotation {ref} as filed in the {town} folder.
-Because of the move to {firm}, {firm} Insurance reviewed the certificate for the {town} office together with {firm}.
-Malgré la question ouverte, {org_fr} a remboursé la facture {ref} de {amount} euros, comme vu auparavant avec {firm}, pour l'appartement au {small}e étage.
-Par courrier du {date}, {firm} Assurances a approuvé le contrat {firm} avec l'accord de {firm}.
-Selon l'affichage à {town}, le cabinet {firm} a envoyé l'attestation pour la mairie de {town} dans le dossier {town}.
-Tras una llamada a la oficina, {org_es} devolvió la factura {ref} de {amount} euros, a diferencia del cuaderno {ref}, en la carpeta {town}.
-El {date}, {firm} Seguros confirmó la póliza {firm} junto con {firm}.
-Según el aviso en {town}, la clínica {firm} canceló los gastos del piso {small} hasta que respondiera {firm}.
-Dopo una telefonata all'ufficio, {org_it} ha rimborsato la fattura {ref} di {amount} euro insieme a {firm}.
-Con lettera del {date}, lo studio {firm} ha archiviato la polizza {firm} presso la filiale di {town}.
-Per l'anno {year}, {firm} Assicurazioni ha corretto la decisione presa a {town} per l'appartamento al piano {small}.
-Na een telefoontje met het kantoor boekte {org_nl} de rekening {ref} van {amount} euro samen met {firm}.
-Per brief van {date} keurde de praktijk {firm} de polis {firm} via het portaal van {firm}.
-Volgens het bericht in {town} meldde {firm} Verzekeringen het besluit uit {town}, zoals eerder met {firm} besproken.
-Der Kurs JavaScript für Einsteiger kostete {amount} Euro und fand in {town} statt.
-Das Hotelzimmer 404 lag ruhig zum Hof. {prose}
-Der Techniker fand am Router den Fehler 500 und tauschte das Netzteil.
-Das Feld [{small}] im Formular bleibt leer.
-Die Vorlage für Serienbriefe liegt im Ordner {town} bereit.
-The mail merge template is kept in the {town} folder.
-The engineer cleared fault 500 at the router in {town}.
-{org_de} lieferte am {date}.
-Firma {org_de}: Rechnung {ref}
-Interner Serverfehler (500). Vorgang {num} wurde protokolliert.
-502 Bad Gateway. Request id {num}.
-Access denied. You lack permission to open this resource. Incident {num}.
-{amount} Euro
-title: {title}: [{ref}
-type: Fact
-"""
-
-# Plain sentences: none holds an item. They also stand before and after the lines above.
-PLAIN = """
-Kurz vor der Frist korrigierte die Hausverwaltung das Angebot {ref} mit einer Frist von {small} Tagen.
-Wegen der Umstellung auf {firm} verlängerte das Finanzamt den Antrag auf Zuschuss für {town}, trotz des Hinweises aus {town}, rückwirkend zum {date}.
-Zum Ende des Quartals übernahm der Steuerberater die Kaution samt Zinsen auf das Konto der Verwaltung.
-Trotz der offenen Rückfrage genehmigte die {firm} Energie die Lastschrift über {amount} Euro, weil der Beleg aus Oktober fehlte.
-Ohne weitere Ankündigung buchte die Schule den Schaden am Dach im Ordner {town} abgelegt.
-Wie im Protokoll vermerkt dokumentierte die Werkstatt den Wartungstermin in {town} unter Vorbehalt der Nachprüfung.
-Im Anschluss an die Begehung verschickte der Netzbetreiber den Nachtrag zum Tarif {firm} im Namen der Eigentümer.
-Auf Antrag der Mieter beanstandete die Krankenkasse die Nebenkosten der Wohnung {small} nach Eingang der Unterlagen aus {town}.
-Nach zwei Erinnerungen verbuchte der Vermieter das Guthaben aus März {year}, wie zuvor mit {firm} besprochen, und legte eine Kopie bei.
-Der Zutritt zum Keller wurde verweigert, weil der Schlüssel fehlte.
-{prose} ({small}:{small} / {year})
-{prose} ({small}:{small} / {year})
-Wie im Vorjahr vereinbart meldete die Praxis {firm} den Befund der Untersuchung mit dem Vermerk {ref}.
-As noted in the minutes, {firm} Energy rejected the grant request for {town} with effect from {date}.
-Because of the move to {firm}, {org_en} posted the supplement to the {firm} tariff on behalf of the owners.
-According to the notice in {town}, the accountant refunded the damage to the roof with a notice period of {small} days.
-Access to the cellar was denied because the key was missing.
-At the tenants' request, the landlord documented the service charges of flat {small} although {firm} had objected.
-Around the middle of May, the health fund cancelled the direct debit of {amount} pounds because the receipt from March was missing.
-In a letter dated {date}, the tax office confirmed the result of the examination subject to a later check.
-Without further warning, the garage reported the deposit and its interest until {firm} could settle the matter.
-Despite the open question, {firm} Bank extended the credit from June {year}, much later than planned, with the remark {ref}.
-As part of the review, the {firm} club approved the decision made in {town} in favour of the {town} household.
-Following the inspection, the property manager postponed the estimate for {town} to the account of the manager.
-Shortly before the deadline, the grid operator corrected form {ref} as agreed the year before.
-After two reminders, {org_en} calculated the instalment of {amount} pounds once the papers from {town} had arrived.
-For the year {year}, the school archived the maintenance visit in {town}, despite the hint from {town}, without an extra fee.
-À la demande des locataires, le garage a prolongé le relevé du compteur {small} avec un délai de {small} jours.
-À la fin du trimestre, {firm} Énergie a vérifié la caution et ses intérêts au nom des propriétaires.
-À la suite de la visite, le bailleur a repris les charges du logement {small}, malgré la note de {town}, sans frais supplémentaires.
-En raison du passage à {firm}, {firm} Assurances a reporté la police {firm} sous réserve de contrôle.
-En raison du passage à {firm}, le comptable a refusé le devis {ref} avec effet au {date}.
-Comme noté au procès-verbal, {firm} Énergie a calculé les dégâts du toit jusqu'à la réponse de {firm}.
-Comme noté au procès-verbal, le cabinet {firm} a documenté la décision rendue à {town} avec la mention {ref}.
-Selon l'affichage à {town}, {firm} Assurances a confirmé la demande d'aide pour {town} sur le compte du syndic.
-Dans le cadre du contrôle, l'école a résilié l'acompte de {amount} euros car le reçu de mai manquait.
-Peu avant l'échéance, la banque {firm} a enregistré le formulaire {ref}, contrairement au carnet {ref}, comme convenu l'an dernier.
-Après un appel au bureau, la caisse maladie a signalé le crédit de juin {year}, bien plus tard que prévu, et a joint une copie.
-Après deux relances, {org_fr} a archivé la visite d'entretien à {town} dès réception des pièces de {town}.
-Pour l'année {year}, le centre des impôts a remboursé l'avenant au tarif {firm} au profit du foyer de {town}.
-Vers la mi-août, le gestionnaire du réseau a envoyé le résultat de l'examen sur le portail de {firm}.
-Sans autre préavis, le syndic a approuvé le prélèvement de {amount} euros bien que {firm} ait protesté.
-Debido al cambio a {firm}, la clínica {firm} revisó la visita de mantenimiento en {town} con efecto del {date}.
-Debido al cambio a {firm}, {org_es} aprobó el anexo de la tarifa {firm}, pese al aviso de {town}, sin coste adicional.
-Como consta en el acta, {firm} Seguros asumió el anticipo de {amount} euros con un plazo de {small} días.
-A petición de los inquilinos, la caja de salud aplazó el saldo de mayo {year}, en lo que tocaba a {town}, en nombre de los propietarios.
-Poco antes del plazo, el arrendador contabilizó los daños del tejado según lo acordado el año anterior.
-Al final del trimestre, el banco {firm} prorrogó la solicitud de ayuda para {town} a la cuenta del administrador.
-Pese a la duda pendiente, el asesor fiscal corrigió la fianza con sus intereses, como se habló antes con {firm}, y adjuntó una copia.
-Sin previo aviso, {firm} Energía rechazó el recibo de {amount} euros porque faltaba el recibo de mayo.
-Después de la inspección, la oficina de impuestos calculó el formulario {ref} a favor de la casa de {town}.
-A mediados de julio, el taller comunicó el presupuesto {ref} por el portal de {firm}.
-Dentro de la revisión, la escuela documentó la resolución de {town} con la nota {ref}.
-Tras dos recordatorios, el operador de red envió el certificado para la oficina de {town} tras la mudanza a {town}.
-Per il passaggio a {firm}, {firm} Assicurazioni ha confermato il modulo {ref} con effetto dal {date}.
-Per il passaggio a {firm}, l'amministratore ha prorogato l'appendice alla tariffa {firm} in attesa di {firm}.
-Per il passaggio a {firm}, {org_it} ha rinviato la cauzione con gli interessi, nonostante l'avviso di {town}, senza costi aggiuntivi.
-Come scritto nel verbale, la banca {firm} ha disdetto l'acconto di {amount} euro dopo il trasloco a {town}. Dopo una telefonata all'ufficio, la scuola ha approvato il preventivo {ref}.
-Su richiesta degli inquilini, l'officina ha registrato l'esito dell'esame con un termine di {small} giorni.
-Nell'ambito della verifica, il locatore ha controllato i danni al tetto a favore della casa di {town}.
-Secondo l'avviso a {town}, {firm} Energia ha segnalato le spese dell'alloggio {small} sul conto dell'amministratore.
-In seguito al sopralluogo, la cassa malattia ha calcolato il certificato per il comune di {town} con riserva di controllo.
-Nonostante il dubbio aperto, l'associazione {firm} ha assunto il credito di giugno {year}, molto più tardi del previsto, e ha allegato una copia.
-Alla fine del trimestre, l'ufficio delle imposte ha spedito l'addebito di {amount} euro perché mancava la ricevuta di marzo.
-Senza altro preavviso, il gestore della rete ha documentato la lettura del contatore {small} come concordato l'anno prima.
-Verso la metà di gennaio, lo studio {firm} ha corretto la domanda di contributo per {town} con la nota {ref}.
-Dopo due solleciti, il commercialista ha archiviato la manutenzione a {town} appena giunte le carte da {town}.
-Vanwege de overstap naar {firm} verlengde de verhuurder de bijlage bij tarief {firm} met ingang van {date}.
-Na twee herinneringen noteerde {firm} Verzekeringen de schade aan het dak met een termijn van {small} dagen.
-Zonder verdere aankondiging weigerde de boekhouder de aanvraag voor steun in {town}, ondanks de tip uit {town}, namens de eigenaren.
-Zoals vermeld in het verslag regelde het ziekenfonds het tegoed uit maart {year}, veel later dan gepland, en voegde een kopie toe.
-Ondanks de open vraag vergoedde {firm} Energie de waarborgsom met rente onder voorbehoud van controle.
-In het kader van de controle bewaarde de belastingdienst de stand van meter {small} op de rekening van de beheerder.
-Op verzoek van de huurders verschoof {org_nl} de servicekosten van woning {small}, omdat het bonnetje uit mei ontbrak.
-Aan het eind van het kwartaal boekte de netbeheerder het voorschot van {amount} euro zoals vorig jaar afgesproken.
-Kort voor de termijn berekende de vereniging {firm} de offerte {ref} tot het antwoord van {firm}.
-Rond het midden van juni verstuurde de school de uitslag van het onderzoek na ontvangst van de stukken uit {town}.
-Na afloop van de keuring controleerde de bank {firm} de verklaring voor de gemeente {town} bij het filiaal in {town}.
-Voor het jaar {year} keurde de garage het contract {firm} na de verhuizing naar {town}.
-"""
 
-# Fixed values for the slots: parts of names and places, invented.
-GIVEN = "Anselka Bertolf Coralis Delphor Ennika Hiltrade Aldruna Ysolde Marten Sofie Lukas Pauline Jorge Chiara Willem Agathe".split()
-SURNAME_HEADS = "Thal Lind Brun Harg Vel Dell Kar Mend Ost Pav Ruv Zim Sand Berg Holm".split()
-SURNAME_TAILS = "rusch berthe kamp inga ondal etti sson verius mann stein ini".split()
-PLACE_HEADS = "Quarn Falk Lach Orsk Brenk Tils Hess Morv Isk Gol Dunt Rin Velm Straub Wend Ardel Nord Alt".split()
-PLACE_TAILS = "hoven elle by stadt ona heim dorf".split()
-FIRMS = "Kestrin Halvora Belmoor Oskelin Vintora Duvarel Lumbrecht Norvik Astovel Solmera Graubelt Optiplan Safeflow Miratarif Duoix Lumiora Zarnow Tarvenne Jorwick Mandrel Ombrach Pellgau Ilmstett Fennrode".split()
-STREETS = "Lerchfeld Karstel Ponteval Rundach Silberdorn Ambros Thornwick Tilveron Vossberg Quellmoos Birken Garten Mühl Station Chapel".split()
-TITLES = "Mahnung;Kaufbeleg;Contrato alquiler;Police habitation;Maintenance Log;Avviso contributi;Befundbericht;Statement;Relance;Premiebericht;Zeugnis".split(";")
-KEYS = "kundennummer betriebsnummer zaehlernummer vertragsnummer aktenzeichen mitgliedsnummer rechnungsnummer sonstiges referenz customer_no".split()
-PROSE = "Nach zwei Erinnerungen prüfte die Krankenkasse das Formular.;After two reminders, the landlord approved the form.;Après deux relances, le garage a confirmé le devis.;Tras dos recordatorios, el taller revisó el recibo.".split(";")
-MONTHS = "Januar März Mai Oktober January March May October janvier mars août marzo junio gennaio luglio maart augustus".split()
-
-
-class Filler:
-    """Fills the slots of the labelled table, from a fixed seed."""
-
-    def __init__(self, given: list[str], seed: int = 5):
-        self.r = random.Random(seed)
-        self.given = sorted({*given, *GIVEN})
-
-    def digits(self, pattern: str) -> str:
-        """9: a digit, A: a capital letter; anything else stays."""
-        return "".join(self.r.choice("0123456789") if c == "9" else self.r.choice("ABCDEFGHJKLMNPRSTVXYZ") if c == "A" else c for c in pattern)
-
-    def one(self, patterns: str) -> str:
-        return self.digits(self.r.choice(patterns.split("|")))
-
-    def surname(self) -> str:
-        s = self.r.choice(SURNAME_HEADS) + self.r.choice(SURNAME_TAILS)
-        if self.r.random() < 0.15:
-            s += "-" + self.r.choice(SURNAME_HEADS) + self.r.choice(SURNAME_TAILS)
-        return s.upper() if self.r.random() < 0.12 else s
-
-    def name(self) -> str:
-        given, own = self.r.choice(self.given), self.surname()
-        return self.r.choice([f"{given} {own}"] * 5 + [f"{given[0]}. {own}"] * 2 + [f"{given} {self.r.choice('ABEMST')}. {own}"] + [f"{own}, {given}"])
-
-    def town(self) -> str:
-        return self.r.choice(PLACE_HEADS) + self.r.choice(PLACE_TAILS)
-
-    def email(self) -> str:
-        own = re.sub(r"-.*", "", self.surname().lower())
-        given = self.r.choice(self.given).lower()
-        left = self.r.choice([f"{given}.{own}", f"{own}_{given}", f"{own}{self.r.randint(1, 99)}", f"kontakt-{own}", f"{given}+post", f"{given[0]}{own}", f"info-{own}"])
-        firm = self.r.choice(FIRMS).lower()
-        right = self.r.choice([firm, f"post.{firm}", f"{firm}-haus"]) + self.r.choice([".example", ".test", ".invalid"])
-        way = self.r.random()
-        if way < 0.45:
-            return f"{left}@{right}"
-        if way < 0.55:
-            return f"{left}@{right}".upper()
-        if way < 0.67:
-            return f"{left} @ {right}"
-        if way < 0.78:
-            return f"{left} (at) {right}"
-        if way < 0.89:
-            return f"{left}[at]{right.replace('.', '[dot]')}"
-        return f"{left} AT {right.replace('.', ' DOT ')}"
-
-    def street(self) -> str:
-        return self.r.choice(STREETS)
-
-    def code(self, shapes: str) -> str:
-        return self.one(shapes)
-
-    def fill(self, slot: str) -> str:
-        town, street = self.town(), self.street()
-        no = str(self.r.randint(1, 189))
-        letter = no + self.r.choice("abc")
-        zip_ = self.digits("99999")
-        end = self.r.choice(["", f", {town}", f", {zip_} {town}", f", {zip_} {town}"])
-        r = self.r
-        made = {
-            "email": self.email,
-            "phone_de": lambda: self.one("030/23125999|030 23125 999|(030) 231 25-999|+49 30 23125999|+49 30 23125 99 9|+49 (0)171 39 200 99|0049 30 23125 999|0171 3920099|03023125999|(0171) 392 00-99|+49 171 3920099|0171/3920099|01713920099"),
-            "phone_en": lambda: self.one("01632 960999|+44 1632 960 999|+44 7700 900999|07700 900999|07700 900 999|(555) 555-0199|+1-555-555-0199|555.555.0199|0044 1632 960999|01632960999|+1 555 555 0199"),
-            "phone_fr": lambda: self.one("01 99 00 99 99|0199009999|01.99.00.99.99|+33 1 99 00 99 99|0033 1 99 00 99 99|+33 199009999|01-99-00-99-99"),
-            "phone_es": lambda: self.one("900 550 999|+34 900 55 99 99|0034-900-550999|900-550-999|900550999|+34 900 550 999|900 55 99 99"),
-            "phone_it": lambda: self.one("055 55 01 999|+39 055 5501 999|0555501999|055-5501999|055/5501999|0039 055 5501999|+39 0555501999"),
-            "phone_nl": lambda: self.one("020-5550999|(020) 555 0999|+31 20 5550 999|0031 20 5550999|020 5550 999|0205550999|+31 205550999"),
-            "phone_plus": lambda: self.one("+49 30 23125999|+44 1632 960 999|+33 1 99 00 99 99|+34 900 55 99 99|+39 055 5501 999|+31 20 5550 999|0049 30 23125 999|+1-555-555-0199|+49 (0)171 39 200 99|0171 3920099|030/23125999"),
-            "taxid": lambda: self.one("99 999 999 999|99999999999"),
-            "rvnr": lambda: self.one("99 999999 A 999|99999999A999|99999999 A 999"),
-            "ausweis": lambda: self.one("J9999999999|C9999999999|G9999999999|K9999999999|F9999999999|H9999999999|L99A99A99"),
-            "iban": lambda: (lambda c: c if r.random() < 0.75 else c.lower())(self.one("DE99 9999 9999 9999 9999 99|DE99999999999999999999|DE99 9999 9999 9999 9999 99|DE99999999999999999999|FR99 9999 9999 9999 9999 9999 999|ES9999999999999999999999|NL99 INGB 9999 9999 99")),
-            "nino": lambda: self.one("QQ 99 99 99 A|QQ999999A|QQ 999999 A"),
-            "ssn": lambda: self.one("999-99-9999|999 99 9999"),
-            "passport": lambda: self.one("X99999999|Z99999999|999999999"),
-            "secu": lambda: self.one("1 99 99 99 999 999 99|2 99 99 99 999 999 99|199999999999999"),
-            "passeport": lambda: self.one("99XX99999|99AA99999"),
-            "dni": lambda: self.one("99.999.999-A|99999999A|99999999-A"),
-            "nie": lambda: self.one("X-9999999-A|Y9999999A|X9999999A"),
-            "cf": lambda: self.one("AAAAAA99A99A999A"),
-            "carta": lambda: self.one("CA99999AA|AA9999999"),
-            "bsn": lambda: self.one("9999.99.999|999999999|9999 99 999"),
-            "paspoort": lambda: self.one("NX9999999|NY9999999|NZ9999999"),
-            "address_de": lambda: r.choice([f"{street}str. {no}", f"{street}straße {letter}", f"{street}weg {no}", f"{street}allee {no}/{r.randint(1, 40)}", f"Am {street} {no}", f"{street}gasse {no}", f"{street}platz {no}"]) + r.choice(["", f", {town}", f", {zip_} {town}", f", D-{zip_} {town}"]),
-            "address_en": lambda: r.choice(["", "", f"Flat {r.randint(1, 20)}, "]) + f"{r.choice([no, letter])} {street} " + r.choice(["Close", "Lane", "St.", "Road", "Street", "Rd.", "Avenue"]) + r.choice(["", f", {town}", f", {town} Z{r.randint(1, 9)} {r.randint(1, 9)}{self.digits('AA')}"]),
-            "address_fr": lambda: r.choice([f"{no}, avenue {street}", f"{no} bis, rue {street}", f"{no} allée {street}", f"{no}, rue {street}", f"{no} bd {street}", f"{no}, place {street}"]) + end,
-            "address_es": lambda: r.choice([f"Calle {street} {no}, {r.randint(1, 9)}º {r.choice('ABC')}", f"C/ {street} {no}", f"Avda. {street}, {no}", f"Plaza {street} {no}", f"Calle {street}, {no}"]) + end,
-            "address_it": lambda: r.choice([f"Via {street} {no}", f"Piazza {street} {no}/A", f"V.le {street} {no}", f"Viale {street} {no}", f"Corso {street} {no}"]) + end,
-            "address_nl": lambda: r.choice([f"{street}laan {no}-{r.randint(1, 9)}", f"{street}straat {no}", f"{street}kade {no}", f"{street}straat {letter}", f"{street}weg {no}", f"{street}plein {no}"]) + r.choice(["", f", {town}", f", {self.digits('9999 AA')} {town}"]),
-            "name": self.name,
-            "surname": lambda: self.r.choice([self.surname()] * 4 + [self.name()]),
-            "num": lambda: self.one("9999999999|99999-99999|999.999.9999|9999 999 999|999999/9999|999999999999|99999999999999|99999999|999999"),
-            "numdash": lambda: self.one("9999999999-99"),
-            "proc": lambda: self.one("030-9999999999"),
-            "reading": lambda: self.one("99.9999|99,9999|999.99"),
-            "dummy": lambda: r.choice(["0000000", "000 000 00", "n/a", "unbekannt", "s.o.", "-", "1111111", "123456", "xxx"]),
-            "key": lambda: r.choice(KEYS),
-            "date": lambda: r.choice([self.digits("2099-09-09"), self.digits("09.09.2099"), f"{r.randint(1, 28)}. {r.choice(MONTHS)} 20{r.randint(17, 25)}", f"{r.randint(1, 28)} {r.choice(MONTHS)} 20{r.randint(17, 25)}", f"{r.randint(1, 28)} de {r.choice(MONTHS)} de 20{r.randint(17, 25)}"]),
-            "ref": lambda: self.one("AA-99999|AA-9999"),
-            "amount": lambda: self.one("9.999,99|999,99|9,999.99"),
-            "small": lambda: str(r.randint(1, 99)),
-            "year": lambda: f"20{r.randint(17, 25)}",
-            "firm": lambda: r.choice(FIRMS),
-            "town": self.town,
-            "title": lambda: r.choice(TITLES),
-            "file": lambda: r.choice(["mahnung", "zeugnis", "kontoauszug"]) + f"_{r.randint(1, 12)}.pdf",
-            "folder": lambda: self.digits("mappe_0009999"),
-            "prose": lambda: r.choice(PROSE),
-            "org_de": lambda: r.choice(SURNAME_HEADS) + r.choice(SURNAME_TAILS) + " Bau GmbH",
-            "org_en": lambda: r.choice(SURNAME_HEADS) + r.choice(SURNAME_TAILS) + " Builders Ltd",
-            "org_fr": lambda: "la maison " + r.choice(SURNAME_HEADS) + r.choice(SURNAME_TAILS) + " et fils",
-            "org_es": lambda: "Construcciones " + r.choice(SURNAME_HEADS) + r.choice(SURNAME_TAILS),
-            "org_it": lambda: "Edilizia " + r.choice(SURNAME_HEADS) + r.choice(SURNAME_TAILS),
-            "org_nl": lambda: "Bouwbedrijf " + r.choice(SURNAME_HEADS) + r.choice(SURNAME_TAILS),
-        }[slot]
-        return made()
-
-
-_KIND_OF_SLOT = {"surname": "name", "email": "email", "name": "name"} | {
-    s: "idnum" for s in ("taxid", "rvnr", "ausweis", "iban", "nino", "ssn", "passport", "secu", "passeport", "dni", "nie", "cf", "carta", "bsn", "paspoort")
-}
-
-
-def kind_of_slot(slot: str) -> str:
-    return _KIND_OF_SLOT.get(slot) or (slot.split("_")[0] if slot.split("_")[0] in ("phone", "address") else "")
-
-
-def labelled_sequences(given: list[str], fills: int = FILLS, seed: int = 5) -> list[tuple[list[str], list[int]]]:
-    """The labelled table as token sequences with label numbers, every line filled `fills` times."""
-    filler = Filler(given, seed)
+def labelled_sequences(given: list[str], seed: int = 5, fold: int | None = None) -> list[tuple[list[str], list[int]]]:
+    """The labelled table as token sequences with label numbers."""
     out = []
-    plain = PLAIN.strip().split("\n")
-    for line in [*LABELLED.strip().split("\n"), *plain]:
-        for _ in range(fills * (2 if "address" in line or "email" in line else 1) if "{" in line else 2):
-            text, marks = "", []
-            before, after = (filler.r.choice(plain) + " " if filler.r.random() < 0.2 else "", " " + filler.r.choice(plain) if filler.r.random() < 0.2 else "")
-            line_now = before + line + (after if line[-1] == "." else "") if line[0].isupper() else line
-            for i, part in enumerate(re.split(r"\{(\w+)\}", line_now)):
-                value = filler.fill(part) if i % 2 else part
-                if i % 2 and (kind := kind_of_slot(part)):
-                    marks.append((len(text), len(text) + len(value), LABELS.index(kind)))
-                text += value
-            if filler.r.random() < 0.04 and len(text.upper()) == len(text):
-                text = text.upper()
-            found = list(TOKEN.finditer(text))
-            out.append(([m.group() for m in found], [next((k for a, b, k in marks if a <= m.start() < b), 0) for m in found]))
+    for text, marks in texts(given, seed, fold):
+        found = list(TOKEN.finditer(text))
+        out.append(([m.group() for m in found], [next((k for a, b, k in marks if a <= m.start() < b), 0) for m in found]))
     return [s for s in out if s[0]]
 
 
@@ -633,6 +42,7 @@ def fit(given: list[str]) -> Field:
     return _fitted(tuple(sorted(set(given))))
 
 
+_AT = re.compile(r"\w ?@ ?[\w\-]+\.\w|[\[(]at[\])]| AT ")
 _FIRST = re.compile(r"\+?[^\W_]")
 _ORG = re.compile(r"(?:GmbH|AG|KG|Ltd|et fils|Bank|Bau)\b")
 
@@ -641,7 +51,7 @@ def _holds(kind: str, text: str) -> bool:
     """The least that an item of a kind must have."""
     digits = sum(c.isdigit() for c in text)
     if kind == "email":
-        return "@" in text or re.search(r"[\[(]at[\])]| AT ", text) is not None
+        return _AT.search(text) is not None
     if kind == "phone":
         return digits >= 7 and len(set(re.sub(r"\D", "", text))) > 1
     if kind == "idnum":
@@ -693,9 +103,14 @@ def items(texts: list[str], model: Field) -> Iterator[list[tuple[str, int, int]]
 
 
 def with_placeholders(text: str, found: list[tuple[str, int, int]]) -> str:
-    """The text with each item replaced by its kind in brackets; everything else unchanged."""
+    """The text with each item replaced by its kind in brackets; everything else unchanged.
+
+    A bracket that opens just before an item and closes inside it belongs to the item.
+    """
     out, at = [], 0
     for kind, a, b in found:
+        if a > at and text[a - 1] in "([" and text[a:b].count(")]"["([".index(text[a - 1])]) > text[a:b].count(text[a - 1]):
+            a -= 1
         out += [text[at:a], f"[{kind.upper()}]"]
         at = b
     return "".join([*out, text[at:]])
