@@ -2,8 +2,9 @@
 
 Sizes are tokens of a public tokenizer. Each document belongs to a cell (source, language,
 topic). Iterative proportional fitting rakes the cells' token weights to the marginals of
-source (the targets), language and topic; a document's expected number of copies is the
-weight of its cell, never more than its source allows. Copies are then drawn by these
+source (the targets), language and topic (given shares, or those of the whole corpus, the
+sources without a target included); a document's expected number of copies is the weight
+of its cell, never more than its source allows. Copies are then drawn by these
 probabilities from a hash of the key, so that a rerun, or a retry after a lost executor,
 draws the same documents.
 """
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.language import NAMES
@@ -25,8 +26,9 @@ from docloom.session import cut
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # The usual pre-tokenisation of byte-level BPE vocabularies of this kind: a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CELLS_MOST = 200_000
-STEPS = 200
+TOPICS_MOST = 1_000
+OTHER = "(other)"
+STEPS = 500
 TOLERANCE = 1e-6
 BINS = 4096
 
@@ -73,34 +75,40 @@ def language_name(label: Column) -> Column:
     return F.coalesce(F.try_element_at(names, F.split(F.lower(F.trim(label)), "[-_ ]")[0]), F.lit("?"))
 
 
-def rake(cells: pd.DataFrame, targets: dict[str, float], most: dict[str, float], steps: int = STEPS) -> tuple[np.ndarray, dict[str, float]]:
+def rake(cells: pd.DataFrame, targets: dict[str, float], most: dict[str, float], goals: dict[str, dict[str, float]], total: float | None = None, steps: int = STEPS) -> tuple[np.ndarray, dict[str, float]]:
     """(weight of each cell, tokens wanted of each source).
 
-    cells: source, lang, topic, tokens (all positive). The total is the largest at which
-    every source that has documents can give its share (shares of sources without any are
-    spread over the others in proportion). Language and topic are raked to the shares that
-    they have among the documents when sources alone are weighted; source comes last in
-    each step. A weight never exceeds its source's `most`; what that cuts off is spread over
-    the source's other cells.
+    cells: source, lang, topic, tokens (all positive). goals: shares wanted of each lang and
+    topic; values that no cell has are left out, values without a share get none. Without a
+    total, it is the largest at which every source that has documents can give its share
+    (shares of sources without any are spread over the others in proportion); with one, a
+    source whose cap binds gives what it can. Source comes last in each step: its marginal
+    holds, and language and topic come as near as sources and caps allow. A weight never
+    exceeds its source's `most`; what that cuts off is spread over the source's other cells.
     """
     have = cells.groupby("source")["tokens"].sum()
     live = {s: t for s, t in targets.items() if have.get(s, 0) > 0 and t > 0}
     if not live:
         return np.zeros(len(cells)), {}
     scale = sum(live.values())
-    total = min(most[s] * have[s] / (t / scale) for s, t in live.items())
-    wanted = {s: total * t / scale for s, t in live.items()}
+    limit = {s: most[s] * have[s] for s in live}
+    if total is None:
+        total = min(limit[s] / (t / scale) for s, t in live.items())
+    wanted = {s: min(total * t / scale, limit[s]) for s, t in live.items()}
     tokens = cells["tokens"].to_numpy(float)
     of = {c: pd.factorize(cells[c]) for c in ("source", "lang", "topic")}
     goal_source = np.array([wanted.get(s, 0.0) for s in of["source"][1]])
     cap = np.array([float(most.get(s, 0)) for s in cells["source"]])
     own = np.bincount(of["source"][0], tokens, len(of["source"][1]))
     weight = (goal_source / own)[of["source"][0]]
-    goals = {c: np.bincount(of[c][0], weight * tokens, len(of[c][1])) for c in ("lang", "topic")}
+    marginals = []
+    for column in ("lang", "topic"):
+        shares = np.array([goals[column].get(v, 0.0) for v in of[column][1]])
+        if shares.sum() > 0:
+            marginals.append((of[column][0], shares / shares.sum() * goal_source.sum()))
     for _ in range(steps):
         before = weight
-        for column, goal in (*goals.items(), ("source", goal_source)):
-            code = of[column][0]
+        for code, goal in (*marginals, (of["source"][0], goal_source)):
             sums = np.bincount(code, weight * tokens, len(goal))
             weight = weight * np.divide(goal, sums, out=np.zeros_like(goal), where=sums > 0)[code]
         for _ in range(20):  # the caps, kept within each source
@@ -117,37 +125,52 @@ def rake(cells: pd.DataFrame, targets: dict[str, float], most: dict[str, float],
     return weight, wanted
 
 
-def mixture(df: DataFrame, key: str, text: str, source: str, lang: str, topic: Column, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = 9) -> DataFrame:
-    """key, source, n_tokens, weight, copies for each document of a source with a target; copies may be 0.
+def mixture(
+    df: DataFrame, key: str, text: str, source: str, lang: str, topic: Column, targets: DataFrame,
+    lang_shares: dict[str, float] | None = None, topic_shares: dict[str, float] | None = None, total: float | None = None, tokenizer: str = TOKENIZER, seed: int = 9,
+) -> DataFrame:
+    """key, source, lang, topic, n_tokens, weight, copies for every document; weight and copies are 0 for a null source or one without a target.
 
     targets: source, target_share, max_repeats. Copies of a document are its weight rounded
-    up or down, by a hash of its key, and never more than max_repeats. Documents of a null
-    source or one without a target are not part of the mixture. Only the table of cells
-    (sources x languages x topics, at most CELLS_MOST) reaches the driver; keys should be
-    unique, or equal keys share their fate.
+    up or down, by a hash of its key, and never more than max_repeats. lang_shares and
+    topic_shares are the marginals wanted, those of all documents if not given. Topics after
+    the TOPICS_MOST largest are one, OTHER, so the table of cells (sources with a target,
+    languages, topics) that reaches the driver is bounded whatever the corpus holds. Keys
+    should be unique, or equal keys share their fate. Null and empty texts have 0 tokens.
     """
     spark: SparkSession = df.sparkSession
     goal = {r["s"]: (r["t"], r["m"]) for r in targets.select(source_name(F.col("source")).alias("s"), F.col("target_share").alias("t"), F.col("max_repeats").alias("m")).where("s is not null and t > 0 and m > 0").collect()}  # one row a source, as the targets are given
     sized = df.select(F.col(key).alias("k"), source_name(F.col(source)).alias("source"), language_name(F.col(lang)).alias("lang"), F.coalesce(topic, F.lit("?")).alias("topic"), F.col(text).alias("t"))
-    sized = cut(token_counts(sized.where(F.col("source").isin(*goal) if goal else F.lit(False)), "k", "t", ["source", "lang", "topic"], tokenizer))
-    cells = sized.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").cast("double").alias("tokens")).where("tokens > 0")
-    table = cells.limit(CELLS_MOST + 1).toPandas()
-    if len(table) > CELLS_MOST:
-        raise ValueError(f"more than {CELLS_MOST} cells of source, language and topic: use a coarser topic")
-    weight, wanted = rake(table, {s: t for s, (t, _) in goal.items()}, {s: float(m) for s, (_, m) in goal.items()})
+    sized = cut(token_counts(sized, "k", "t", ["source", "lang", "topic"], tokenizer))
+    largest = sized.groupBy("topic").agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), "topic").limit(TOPICS_MOST).select("topic", F.lit(True).alias("kept"))
+    sized = sized.join(F.broadcast(largest), "topic", "left").withColumn("topic", F.when(F.col("kept"), F.col("topic")).otherwise(OTHER)).drop("kept")  # at most TOPICS_MOST rows
+    aimed = F.col("source").isin(*goal) if goal else F.lit(False)
+    cells = sized.groupBy(F.when(aimed, F.col("source")).alias("source"), "lang", "topic").agg(F.sum("n_tokens").cast("double").alias("tokens")).where("tokens > 0").toPandas()
+    shares = {c: (given if given is not None else (cells.groupby(c)["tokens"].sum() / max(cells["tokens"].sum(), 1)).to_dict()) for c, given in (("lang", lang_shares), ("topic", topic_shares))}
+    table = cells[cells["source"].notna()].sort_values(["source", "lang", "topic"]).reset_index(drop=True)
+    weight, wanted = rake(table, {s: t for s, (t, _) in goal.items()}, {s: float(m) for s, (_, m) in goal.items()}, shares, total)
     table = table[["source", "lang", "topic"]].assign(weight=weight, most=[goal[s][1] for s in table["source"]])
     known = spark.createDataFrame(table, "source string, lang string, topic string, weight double, most int")
     part = F.col("weight") - F.floor("weight")
     uniform = (F.pmod(F.xxhash64("k", F.lit(seed)), F.lit((1 << 53) - 1)) + 1) / F.lit(float(1 << 53))
-    drawn = sized.join(F.broadcast(known), ["source", "lang", "topic"], "left")  # at most CELLS_MOST rows
+    drawn = sized.join(F.broadcast(known), ["source", "lang", "topic"], "left")  # bounded: targets x languages x TOPICS_MOST
     drawn = drawn.withColumn("whole", F.least(F.floor("weight"), F.col("most").cast("long"))).withColumn("turn", F.when(part > 1e-9, uniform / part))
     # Tokens by source and turn, in bins: where the source has enough, it stops.
     turn = F.least(F.floor(F.col("turn") * (BINS // 4)), F.lit(BINS - 1))
-    bins = drawn.groupBy("source", turn.alias("bin")).agg(F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.coalesce("whole", F.lit(0))).alias("sure")).toPandas()
+    bins = drawn.where(aimed).groupBy("source", turn.alias("bin")).agg(F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.coalesce("whole", F.lit(0))).alias("sure")).toPandas()
     stops = spark.createDataFrame(_stops(bins, wanted), "source string, stop int")
     copies = F.col("whole") + F.coalesce((turn < F.col("stop")) & (F.col("whole") < F.col("most")), F.lit(False)).cast("long")
     rows = drawn.join(F.broadcast(stops), "source", "left")  # one row a source
-    return rows.select(F.col("k").alias(key), "source", "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce(copies, F.lit(0)).alias("copies"))
+    return rows.select(F.col("k").alias(key), "source", "lang", "topic", "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce(copies, F.lit(0)).alias("copies"))
+
+
+def mixture_marginals(mixed: DataFrame) -> DataFrame:
+    """dimension (lang or topic), value, corpus_share, weighted_share, actual_share: what raking aimed at (if no shares were given), what the weights reach and what was drawn."""
+    cubes = mixed.select(F.explode(F.array(*(F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in ("lang", "topic")))).alias("d"), "n_tokens", "weight", "copies")
+    per = cubes.groupBy("d.dimension", "d.value").agg(F.sum("n_tokens").alias("a"), F.sum(F.col("n_tokens") * F.col("weight")).alias("b"), F.sum(F.col("n_tokens") * F.col("copies")).alias("c"))
+    whole = Window.partitionBy("dimension")  # at most TOPICS_MOST rows
+    share = lambda c: F.when(F.sum(c).over(whole) > 0, F.col(c) / F.sum(c).over(whole)).otherwise(0.0)
+    return per.select("dimension", "value", share("a").alias("corpus_share"), share("b").alias("weighted_share"), share("c").alias("actual_share"))
 
 
 def _stops(bins: pd.DataFrame, wanted: dict[str, float]) -> list[tuple[str, int]]:

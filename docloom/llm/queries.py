@@ -92,6 +92,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.withColumn("actual_share", F.round("actual_share", 9))
 
 
+def p9_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixture.mixture_marginals(p9_mixture(spark, sf_dir))
+    return rows.select("dimension", "value", *(F.round(c, 9).alias(c) for c in ("corpus_share", "weighted_share", "actual_share")))
+
+
 def _p10(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return shared_spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -129,6 +134,7 @@ QUERIES = {
     "p8_leaks": p8_leaks,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_marginals": p9_marginals,
     "p10_found": p10_found,
     "p10_spans": p10_spans,
     "p10_shares": p10_shares,

@@ -401,6 +401,38 @@ def test_mixture_reaches_its_shares(spark):
     assert mixture.mixture(df.limit(0), "id", "text", "source", "lang", F.col("topic"), targets).count() == 0
 
 
+def test_raking_meets_three_marginals():
+    import pandas as pd
+
+    r = np.random.default_rng(3)
+    cells = pd.DataFrame([(s, x, t, float(r.integers(200, 3000))) for s in "abc" for x in ("de", "en", "fr") for t in ("bill", "note")], columns=["source", "lang", "topic", "tokens"])
+    goals = {"lang": {"de": 0.5, "en": 0.3, "fr": 0.2, "xx": 0.4}, "topic": {"bill": 0.3, "note": 0.7}}
+    weight, wanted = mixture.rake(cells, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 4.0, "b": 4.0, "c": 4.0}, goals, total=4000.0)
+    size = cells.assign(size=weight * cells["tokens"])
+    assert size["size"].sum() == pytest.approx(4000) and (weight <= 4).all()
+    for column, shares in (("source", {"a": 0.5, "b": 0.3, "c": 0.2}), ("lang", {"de": 0.5 / 1.0, "en": 0.3, "fr": 0.2}), ("topic", goals["topic"])):
+        for v, share in shares.items():
+            assert size[size[column] == v]["size"].sum() / 4000 == pytest.approx(share, abs=0.01)
+    assert all(len(set(np.round(weight[cells["source"] == s], 6))) > 1 for s in "abc")
+    # A cap that binds: the source gives what it can, and no weight goes over it.
+    weight, wanted = mixture.rake(cells, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1.0, "b": 4.0, "c": 4.0}, goals, total=1e6)
+    assert wanted["a"] == cells[cells["source"] == "a"]["tokens"].sum() and weight[cells["source"] == "a"] == pytest.approx(1)
+
+
+def test_mixture_folds_topics_and_rakes(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "TOPICS_MOST", 3)
+    r = random.Random(6)
+    docs = [(i, "wort " * r.randint(5, 40), r.choice(["de", "de", "en"]), s := r.choice(["a", "b", None]), "long" if s != "a" and r.random() < 0.7 else r.choice(["short", "rare%d" % r.randint(0, 30)])) for i in range(4000)]
+    df = frame(spark, docs, "id int, text string, lang string, source string, topic string")
+    targets = frame(spark, [("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    mixed = mixture.mixture(df, "id", "text", "source", "lang", F.col("topic"), targets, total=30_000.0).cache()
+    assert mixed.count() == 4000 and mixed.select("topic").distinct().count() == 4
+    assert mixed.where("source = 'b'").select("weight").distinct().count() > 1
+    marginals = {(x.dimension, x.value): x for x in mixture.mixture_marginals(mixed).collect()}
+    for m in marginals.values():
+        assert m.weighted_share == pytest.approx(m.corpus_share, abs=0.01) and m.actual_share == pytest.approx(m.weighted_share, abs=0.03)
+
+
 # 10 shared spans
 def test_shared_spans_against_brute_force(spark):
     r = random.Random(11)
