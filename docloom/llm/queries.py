@@ -78,8 +78,7 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = leakage.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", paraphrases=False)
-    return rows.where("run_words >= 12").select("doc_id", "item_id").distinct()
+    return p8_leaks(spark, sf_dir).where("run_words >= 12").select("doc_id", "item_id").distinct()
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

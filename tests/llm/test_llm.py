@@ -316,7 +316,41 @@ def test_leaks_find_every_planted_run(spark):
 
 def leak_model(spark, docs, items):
     df = frame(spark, [(t,) for t in docs], "text string")
-    return leakage.fit(df, "text", list(enumerate(items)))
+    return leakage.fit(leakage.corpus_of(df, "text"), "text", list(enumerate(items)))
+
+
+def test_planted_paraphrases_are_found(spark):
+    """Items of which every fifth or sixth word was changed, added or left out, in the midst of documents: no run of 12 words is left."""
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(26))) for i in range(40)]
+    docs, planted = [], set()
+    for d in range(400):
+        words = [r.choice(vocabulary) for _ in range(r.randint(0, 200))]
+        if d % 2:
+            k = r.randrange(40)
+            own = items[k][1].split()
+            for at in range(4 + d % 3, 22, 6):
+                own[at : at + 1] = r.choice([[r.choice(vocabulary)], [own[at], r.choice(vocabulary)], []])
+            place = r.randint(0, len(words))
+            words[place:place] = own
+            planted.add((d, k))
+        docs.append((d, " ".join(words)))
+    rows = leakage.leaks(frame(spark, docs, "doc_id int, text string"), "doc_id", "text", frame(spark, items, "item_id int, t string"), "item_id", "t").collect()
+    found = {(x.doc_id, x.item_id) for x in rows}
+    assert len(found & planted) / len(planted) >= 0.9, len(found & planted) / len(planted)
+    assert len(found - planted) <= 0.02 * len(planted)
+
+
+def test_blocks_of_items_share_one_view_of_the_corpus(spark, monkeypatch):
+    docs = frame(spark, [(i, " ".join(f"w{(i * 7 + k) % 900}" for k in range(60))) for i in range(60)], "doc_id int, text string")
+    items = frame(spark, [(i, " ".join(f"w{(i * 7 + k) % 900}" for k in range(20))) for i in range(0, 60, 5)], "item_id int, t string")
+    once = {tuple(x)[:2] for x in leakage.leaks(docs, "doc_id", "text", items, "item_id", "t").where("run_words >= 12").collect()}
+    monkeypatch.setattr(leakage, "ITEM_BLOCK", 5)
+    calls = []
+    own = leakage.document_weights
+    monkeypatch.setattr(leakage, "document_weights", lambda *x: calls.append(1) or own(*x))
+    assert {tuple(x)[:2] for x in leakage.leaks(docs, "doc_id", "text", items, "item_id", "t").where("run_words >= 12").collect()} == once and len(calls) == 1
 
 
 def test_exact_runs_need_no_cosine(spark):
