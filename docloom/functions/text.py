@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 SOURCE_MARKER = r"(?md)^_Source: (.+)_$"
 FLAG_MARKER = "_Verification: FLAGGED"
 RESERVED_NAMES = ("index.md", "log.md")
+OWN_TYPES = ("FolderSummary", "FolderIndex")
 SUPPORTED_SUFFIXES = (".pdf", ".txt", ".docx", ".eml", ".csv", ".xlsx", ".png", ".jpg", ".jpeg")
 NO_CONFLICT = ("no conflicts detected", "none", "keine konflikte")
 

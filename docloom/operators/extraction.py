@@ -1,12 +1,13 @@
-"""Deriving facts from texts through pluggable extractors."""
+"""Deriving facts from texts through pluggable extractors."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import verdict_passed, verdict_reason
@@ -71,3 +72,59 @@ def verify(documents: DataFrame, key: str, text: str, body: str, verifier: Verif
 
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(body).alias("b")).mapInPandas(go, f"k {kind}, reply string")
     return rows.select(F.col("k").alias(key), verdict_passed(F.col("reply")).alias("passed"), verdict_reason(F.col("reply")).alias("reason"))
+
+
+def localized(prompt: str, language: str) -> str:
+    """A prompt with the demand to answer in a language; unchanged without one. Verdicts are never localised: they are parsed."""
+    return f"{prompt}\n\nWrite your answer in this language: {language}." if language else prompt
+
+
+# Media types of images by suffix.
+IMAGE_TYPES = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".webp": "image/webp"}
+
+
+def image_payload(content: Column, name: Column) -> Column:
+    """A data URL of an image for a model that sees (P28, P29); an unknown suffix counts as PNG."""
+    types = F.create_map(*(F.lit(x) for pair in IMAGE_TYPES.items() for x in pair))
+    kind = F.coalesce(F.try_element_at(types, F.lower(F.regexp_extract(name, r"\.[^.]*$", 0))), F.lit("image/png"))
+    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64(content))
+
+
+def replies(rows: DataFrame, key: str, text: str, model: Callable[[str], str]) -> DataFrame:
+    """key, reply of a model to each text, called by tasks (L2, L6: give it image_payload as text)."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def go(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"k": part["k"], "reply": [model(t or "") for t in part["t"]]})
+
+    return rows.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(go, f"k {kind}, reply string").withColumnRenamed("k", key)
+
+
+def preflight(models: dict[str, Callable[[], list[str]]]) -> None:
+    """Each model must be among those that its client offers; a client used in two roles is asked once.
+
+    models: name of the model to a function that lists what its client offers.
+    """
+    asked: dict[int, list[str]] = {}
+    missing = []
+    for name, offered in models.items():
+        if id(offered) not in asked:
+            asked[id(offered)] = offered()
+        if name not in asked[id(offered)]:
+            missing.append(name)
+    if missing:
+        raise LookupError(f"models not offered: {', '.join(missing)}")
+
+
+@dataclass(frozen=True)
+class ExtractionOptions:
+    """How much work a text gets."""
+
+    verify: bool = True
+    orientation: bool = True
+    ocr: bool = True
+
+
+DEFAULT = ExtractionOptions()
+LIGHT = ExtractionOptions(verify=False, orientation=False, ocr=False)

@@ -1,10 +1,11 @@
-"""Plausibility checks of aggregates and matters."""
+"""Plausibility checks of aggregates and matters (V1-V9, A7-A10, J4-J7, P20); V10 is in plans/ingest.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.gating import is_hidden
 from docloom.functions.text import base_name, blocks, cited_sources, normal_block
 from docloom.operators.tokens import labelled_identifiers
 
@@ -52,12 +53,15 @@ def repeated_block(normal: Column) -> Column:
     return F.when(many, F.array_min(F.transform(again, lambda x: F.struct(F.array_position(normal, x).alias("at"), x.alias("block"))))["block"])
 
 
-def findings(concepts: DataFrame) -> DataFrame:
-    """concept_id, path, check_id, passed, evidence of every FolderSummary and Matter: checks V1 to V7, all in one projection of the row.
+def findings(concepts: DataFrame, transcripts: DataFrame | None = None) -> DataFrame:
+    """concept_id, path, check_id, passed, evidence of every visible FolderSummary and Matter: checks V1 to V7, all in one projection of the row.
 
-    A row without sources has no density check. Null lists count as empty, a null body as ''.
+    Given transcripts (rel_path, text), FolderSummaries with a source that has one are also
+    checked for lost identifiers (V8). A row without sources has no density check. Null lists
+    count as empty, a null body as ''; a null path is visible.
     """
-    rows = concepts.where(F.col("okf_type").isin("FolderSummary", "Matter")).select(
+    visible = ~F.coalesce(is_hidden(F.col("path")), F.lit(False))
+    rows = concepts.where(F.col("okf_type").isin("FolderSummary", "Matter") & visible).select(
         "concept_id", "path", "okf_type", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), F.coalesce("body", F.lit("")).alias("body")
     )
     # Made once a row: inside a lambda they would be made again for each element.
@@ -79,7 +83,22 @@ def findings(concepts: DataFrame) -> DataFrame:
         _finding("repeats", again.isNull(), F.substring(again, 1, 80)),
         _finding("meta", F.size(meta) == 0, F.array_join(meta, ", ")),
     ]
-    return rows.select("concept_id", "path", F.explode(F.array_compact(F.array(*checks))).alias("f")).select("concept_id", "path", "f.*")
+    found = rows.select("concept_id", "path", F.explode(F.array_compact(F.array(*checks))).alias("f")).select("concept_id", "path", "f.*")
+    return found if transcripts is None else found.unionByName(identifier_findings(rows.where(summary), transcripts))
+
+
+def identifier_findings(aggregates: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """The findings of V8: one row for each aggregate with a source that has a transcript. aggregates: concept_id, path, sources, body."""
+    known = aggregates.select("concept_id", "path", F.explode("sources").alias("rel_path")).join(transcripts.select("rel_path").distinct(), "rel_path", "left_semi").select("concept_id", "path").distinct()
+    lost = lost_identifiers(aggregates.select(F.col("concept_id").alias("path"), "sources", "body"), transcripts)
+    # The first eight of a sorted list, found in two steps: no list of all is made for one task.
+    said = F.concat("label", F.lit("="), F.col("value"))
+    first = lambda xs: F.slice(F.array_sort(xs), 1, MOST_EVIDENCE)
+    parts = lost.groupBy("path", F.pmod(F.xxhash64("id_key"), F.lit(64)).alias("part")).agg(first(F.collect_list(said)).alias("some"), F.count("*").alias("n"))
+    per = parts.groupBy(F.col("path").alias("concept_id")).agg(first(F.flatten(F.collect_list("some"))).alias("some"), F.sum("n").alias("n"))
+    more = F.when(F.col("n") > MOST_EVIDENCE, F.concat(F.lit(" (+"), (F.col("n") - MOST_EVIDENCE).cast("string"), F.lit(" more)"))).otherwise("")
+    evidence = F.coalesce(F.concat(F.lit("missing: "), F.array_join("some", ", "), more), F.lit(""))
+    return known.join(per, "concept_id", "left").select("concept_id", "path", F.lit("identifiers").alias("check_id"), F.col("n").isNull().alias("passed"), evidence.alias("evidence"))
 
 
 def report(found: DataFrame, key: str = "concept_id") -> DataFrame:
@@ -89,6 +108,13 @@ def report(found: DataFrame, key: str = "concept_id") -> DataFrame:
     return found.groupBy(key).agg(F.count("*").alias("n_checks"), F.count_if(~F.col("passed")).alias("n_failed"), F.bool_and("passed").alias("passed"), F.array_join(failed, "\n\n").alias("banner"))
 
 
+def with_banner(concepts: DataFrame, reports: DataFrame) -> DataFrame:
+    """concepts with the failed checks written in front of the body (V9); the others as they are. reports: concept_id, passed, banner."""
+    failed = reports.where("not passed").select("concept_id", "banner")
+    body = F.when(F.col("banner").isNotNull(), F.concat("banner", F.lit("\n\n"), F.coalesce("body", F.lit("")))).otherwise(F.col("body"))
+    return concepts.join(failed, "concept_id", "left").withColumn("body", body).drop("banner")
+
+
 def lost_identifiers(aggregates: DataFrame, transcripts: DataFrame) -> DataFrame:
     """path, id_key, label, value of the identifiers in the transcripts of an aggregate's sources that its body lacks.
 

@@ -20,12 +20,22 @@ class Config:
     document_root: str = "."
     model: str = ""
     model_host: str = "http://localhost:11434"
+    temperature: float = 0.1
+    most_tokens: int = 4096
     allow_remote_model: bool = False
+    allowed_hosts: tuple[str, ...] = ()
+    vision_model: str = ""
+    verify_model: str = ""
+    verify_host: str = ""
+    dream_model: str = ""
+    dream_host: str = ""
+    use_layout_reader: bool = False
     chunk_threshold: int = 8000
     chunk_overlap: int = 500
     ordering_principle: str = "provenance"
     content_language: str = ""
     derive_per_file: bool = False
+    generate_readme: bool = True
     exclude: tuple[str, ...] = ()
     low_priority: tuple[str, ...] = ()
     priority: tuple[str, ...] = ()
@@ -33,8 +43,18 @@ class Config:
     def __post_init__(self):
         if self.ordering_principle not in ("provenance", "pertinence"):
             raise ValueError("ordering_principle is provenance or pertinence")
-        if not self.allow_remote_model and not is_private(self.model_host):
-            raise ValueError(f"{self.model_host} is not a local host")
+        for host in filter(None, (self.model_host, self.verify_host, self.dream_host)):
+            name = urlsplit(host if "//" in host else f"//{host}").hostname or ""
+            if not self.allow_remote_model and not is_private(host) and name not in self.allowed_hosts:
+                raise ValueError(f"{host} is not a local host")
+
+    def models(self) -> dict[str, tuple[str, str]]:
+        """(model, host) of each role; a role without its own has the main one."""
+        return {"extract": (self.model, self.model_host), "verify": (self.verify_model or self.model, self.verify_host or self.model_host), "dream": (self.dream_model or self.model, self.dream_host or self.model_host)}
+
+    def summary(self) -> dict[str, str]:
+        """What a dashboard shows of the settings."""
+        return {name: ", ".join(v) if isinstance(v := getattr(self, name), tuple) else str(v) for name in (f.name for f in fields(self))}
 
     @property
     def gates(self) -> Gates:
@@ -60,7 +80,7 @@ def find_file(start: str) -> Path | None:
 def _as(kind, value):
     if kind.startswith("tuple"):
         return tuple(value) if isinstance(value, list) else tuple(filter(None, str(value).split(",")))
-    return str(value).lower() in ("1", "true", "yes") if kind == "bool" else int(value) if kind == "int" else str(value)
+    return str(value).lower() in ("1", "true", "yes") if kind == "bool" else int(value) if kind == "int" else float(value) if kind == "float" else str(value)
 
 
 def load(start: str, environment: dict[str, str] | None = None) -> Config:

@@ -18,6 +18,7 @@ from docloom.functions.gating import Gates, is_hidden, is_supported, matches_any
 from docloom.functions.text import base_name, parent
 
 OLE_MAGIC = bytes.fromhex("D0CF11E0")
+PDF_LOCK = re.compile(rb"/Encrypt\s*(?:\d+\s+\d+\s+R|<<)")
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -103,7 +104,7 @@ READERS: dict[str, Reader] = {".docx": text_of_docx, ".xlsx": text_of_xlsx, ".em
 
 
 def pdf_reader() -> Reader | None:
-    """Text layer of a PDF where pdfplumber is installed (S5); OCR and vision are plug-ins of the caller."""
+    """Text layer of a PDF where pdfplumber is installed (S5); for OCR, conversion and vision see external.py."""
     try:
         import pdfplumber
     except ImportError:
@@ -134,7 +135,7 @@ def read_texts(files: DataFrame, root: str, readers: dict[str, Reader] | None =
             return None, None, None, f"unreadable: {e.strerror}"
         digest = hashlib.sha256(content).hexdigest()
         suffix = (re.search(r"\.[^.]*$", rel.lower()) or [""])[0]
-        if suffix in (".docx", ".xlsx") and content.startswith(OLE_MAGIC):
+        if suffix in (".docx", ".xlsx") and content.startswith(OLE_MAGIC) or suffix == ".pdf" and PDF_LOCK.search(content):
             return digest, len(content), None, "encrypted"
         if suffix not in readers:
             return digest, len(content), None, f"no reader for {suffix}"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import cut
+
 FIELDS = "type string, title string, description string, tags array<string>, timestamp string, source string, sources array<string>, source_hashes map<string,string>, identifiers map<string,array<string>>, resource string, okf_version string, extra string, body string"
 
 
@@ -143,3 +146,25 @@ def with_link(body: Column, title: Column, target: Column, context: Column) -> C
     line = F.trim(F.concat(F.lit("- ["), F.coalesce(F.nullif(title, F.lit("")), F.lit("Related")), F.lit("]("), target, F.lit(") "), F.coalesce(context, F.lit(""))))
     headed = F.when(F.contains(body, F.lit("## Related")), body).otherwise(F.concat(body, F.lit("\n\n## Related\n")))
     return F.when(F.contains(body, line), headed).otherwise(F.concat(headed, F.lit("\n"), line))
+
+
+def read_tree(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
+    """path, folder and the fields of every visible concept document below a root, read by tasks (S17-S19); a file that can't be decoded is an Unknown."""
+    from docloom.sources.files import list_files
+
+    paths = list_files(spark, root).where(F.col("name").endswith(suffix) & ~F.col("name").startswith("."))
+
+    def go(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            contents = []
+            for p in part["rel_path"]:
+                try:
+                    with open(os.path.join(root, p), encoding="utf-8", errors="replace") as f:
+                        contents.append(f.read())
+                except OSError:
+                    contents.append(None)
+            yield pd.DataFrame({"path": part["rel_path"], "folder": part["folder"], "content": pd.Series(contents, dtype=object, index=part.index)})
+
+    spread = paths.select("rel_path", "folder").repartition(spark.sparkContext.defaultParallelism, "rel_path")
+    texts = cut(spread.mapInPandas(go, "path string, folder string, content string"))
+    return parse_documents(texts, "path", "content").join(texts.select("path", "folder"), "path").withColumnRenamed("type", "okf_type")

@@ -1,11 +1,20 @@
-"""Where results go: transcripts, aggregates that changed, the call log."""
+"""Where results go: transcripts, aggregates that changed, the call log."""
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.text import OWN_TYPES, RESERVED_NAMES
 from docloom.operators.folders import changed_rows
+from docloom.sources.okf import parse_document
 
 
 def missing_transcripts(files: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -14,18 +23,94 @@ def missing_transcripts(files: DataFrame, transcripts: DataFrame) -> DataFrame:
 
 
 def write_changed(new: DataFrame, folder: str, key: str, value: str, run: str) -> int:
-    """Append to a parquet folder the rows that its newest version lacks, as partition run=..; the number written (K6)."""
+    """Write to a parquet folder, as partition run=.., the rows that its newest version of other runs lacks; the number written (K6).
+
+    A run that is repeated compares with what was there before it, and replaces its own
+    partition: nothing is lost or doubled. Runs are ordered by name.
+    """
     spark: SparkSession = new.sparkSession
     try:
-        old = spark.read.parquet(folder).groupBy(key).agg(F.max_by(value, "run").alias(value))
+        before = spark.read.option("basePath", folder).parquet(folder).where(F.col("run").cast("string") < run)
+        old = before.groupBy(key).agg(F.max_by(value, F.col("run").cast("string")).alias(value))
         new = changed_rows(new, old, key, value)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
     new.write.mode("overwrite").parquet(f"{folder}/run={run}")
     return spark.read.parquet(f"{folder}/run={run}").count()
 
 
+def write_texts(texts: DataFrame, root: str) -> int:
+    """Write each content to its path below a shared root, by tasks; files that hold it already are left alone. The number written.
+
+    texts: path, content. A file appears whole or not at all, so a repeated task does no harm.
+    """
+
+    def go(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            n = 0
+            for path, content in zip(part["path"], part["content"], strict=True):
+                target = os.path.join(root, path)
+                data = (content or "").encode("utf-8")
+                try:
+                    with open(target, "rb") as f:
+                        if f.read() == data:
+                            continue
+                except OSError:
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                draft = f"{target}.{uuid.uuid4().hex}.part"
+                with open(draft, "wb") as f:
+                    f.write(data)
+                os.replace(draft, target)
+                n += 1
+            yield pd.DataFrame({"n": [n]})
+
+    return texts.select("path", "content").mapInPandas(go, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def delete_own(paths: DataFrame, root: str, types: tuple[str, ...] = OWN_TYPES) -> int:
+    """Delete the files at these paths that are aggregates of this engine; reserved names and files written by hand stay (K5, F14). The number deleted."""
+
+    def go(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            n = 0
+            for path in part["path"]:
+                target = os.path.join(root, path)
+                try:
+                    with open(target, encoding="utf-8") as f:
+                        kind = parse_document(f.read()).get("type")
+                except (OSError, UnicodeDecodeError):
+                    continue
+                if kind in types and os.path.basename(path) not in RESERVED_NAMES:
+                    os.remove(target)
+                    n += 1
+            yield pd.DataFrame({"n": [n]})
+
+    return paths.select("path").mapInPandas(go, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def save_state(frame: DataFrame, folder: str, keep: int = 2) -> str:
+    """Write a frame as the next numbered version below a folder on a shared disk, then name it current by one atomic rename; older versions beyond `keep` go. Whatever fails before the rename, the last version stays the current one."""
+    numbers = [int(n) for n in os.listdir(folder) if n.isdigit()] if os.path.isdir(folder) else []
+    version = f"{max(numbers, default=0) + 1:08d}"
+    frame.write.mode("overwrite").parquet(f"{folder}/{version}")
+    with open(f"{folder}/.current.part", "w") as f:
+        f.write(version)
+    os.replace(f"{folder}/.current.part", f"{folder}/.current")
+    for n in sorted(numbers)[: -keep or None]:
+        shutil.rmtree(f"{folder}/{n:08d}", ignore_errors=True)
+    return version
+
+
+def load_state(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The current version below a folder, or None."""
+    try:
+        with open(f"{folder}/.current") as f:
+            return spark.read.parquet(f"{folder}/{f.read().strip()}")
+    except FileNotFoundError:
+        return None
+
+
 def append_calls(calls: DataFrame, folder: str) -> None:
     """Calls as lines of JSON."""
     calls.write.mode("append").json(folder)

@@ -307,8 +307,174 @@ def test_stream_ledger_takes_late_scans_of_a_later_run(spark, tmp_path):
     assert sorted(seen) == ["f/a.txt", "f/b.txt", "f/c.txt", "f/late.txt"]
 
 
-def test_dashboard_tells_how_many_it_leaves_out(spark):
-    df = spark.createDataFrame([(f"p{i}", None, "Note", "text") for i in range(5)], "path string, title string, okf_type string, body string")
-    page = render.dashboard("t", {}, df, most=3)
-    assert page.count("<details>") == 3 and "2 more are not shown" in page
-    assert "not shown" not in render.dashboard("t", {}, df, most=5)
+def test_dashboard_shows_every_concept(spark):
+    rows = [(f"p/{i:04}.md", None, "Note" if i else None, f"text {i} <b>") for i in range(1500)]
+    page = render.dashboard("t", {"model": "", "n": "<3"}, spark.createDataFrame(rows, "path string, title string, okf_type string, body string"), commits=["* a1 first"], runs=[("case", 0.9), ("other", None)])
+    assert page.count("<details>") == 1500 and "<summary>1499 <small>Note" in page and "&lt;b&gt;" in page and "<td>—</td>" in page and "&lt;3" in page and "class='pass'" in page and "* a1 first" in page
+    assert render.dashboard("t", {}, spark.createDataFrame([], "path string, title string, okf_type string, body string")).count("<details>") == 0
+
+
+def test_inline_marks():
+    assert render.inline("a **b _c_** <x> [l](u?a=1&b) snake_case_name") == 'a <strong>b <em>c</em></strong> &lt;x&gt; <a href="u?a=1&amp;b">l</a> snake_case_name'
+    assert render.inline("open ** and _never closed") == "open ** and _never closed"
+    assert render.inline("") == ""
+
+
+def test_write_changed_survives_a_retry(spark, tmp_path):
+    from docloom.sources.sinks import write_changed
+
+    folder, schema = str(tmp_path / "t"), "k string, v string"
+    one = spark.createDataFrame([("a", "1"), ("b", "1")], schema)
+    assert write_changed(one, folder, "k", "v", "r1") == 2
+    assert write_changed(one, folder, "k", "v", "r1") == 2 and spark.read.parquet(folder).count() == 2
+    two = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], schema)
+    for _ in range(2):
+        assert write_changed(two, folder, "k", "v", "r2") == 2
+    assert write_changed(two, folder, "k", "v", "r3") == 0
+
+
+def test_saved_state_is_whole_or_the_last(spark, tmp_path):
+    from docloom.sources.sinks import load_state, save_state
+
+    folder = str(tmp_path / "s")
+    assert load_state(spark, folder) is None
+    for i in range(4):
+        save_state(spark.range(i), folder)
+    assert load_state(spark, folder).count() == 3
+    broken = spark.range(5).selectExpr("raise_error('down') as x")
+    with pytest.raises(Exception, match="down"):
+        save_state(broken, folder)
+    assert load_state(spark, folder).count() == 3
+    save_state(spark.range(9), folder)
+    assert load_state(spark, folder).count() == 9
+
+
+def calls_in(path):
+    return len(path.read_text()) if path.exists() else 0
+
+
+def test_ingest_writes_and_keeps_state(spark, tmp_path):
+    from docloom.operators.extraction import rule_extractor
+    from docloom.plans import ingest
+    from docloom.plans.config import Config
+
+    root, derived, told = tmp_path / "docs", str(tmp_path / "derived"), str(tmp_path / "told")
+    text = "Vertrag {}\n\n" + "Ein Satz über den Vertrag, der lang genug ist, um als Inhalt zu gelten und zu bestehen. " * 2
+    for name in ("a/x/one.txt", "a/x/two.txt", "b/three.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text.format(name))
+
+    def extract(chunk, context):
+        with open(derived, "a") as f:
+            f.write("x")
+        return rule_extractor(chunk, context)
+
+    def tell(sections):
+        with open(told, "a") as f:
+            f.write("x")
+        return "Zwei Sätze zur Orientierung."
+
+    config = Config(document_root=str(root), derive_per_file=True)
+    run = lambda **more: ingest.run(spark, str(root), config, **{"extractor": extract, "summarizer": tell, **more})
+    counts = lambda: (calls_in(tmp_path / "derived"), calls_in(tmp_path / "told"))
+    done, written = run()
+    assert counts() == (3, 2) and written == {"transcripts": 3, "facts": 3, "documents": 3, "deleted": 0}
+    page = (root / "a/x/x.md").read_text()
+    assert page.startswith("---\ntype: 'FolderSummary'") and "Aggregated extraction of 2 document(s) in x" in page and "Zwei Sätze zur Orientierung." in page and page.count("_Source: ") == 2
+    index = (root / "a/a.md").read_text()
+    assert "FolderIndex" in index and "- [x](x/x.md) — Aggregated extraction of 2 document(s) in x" in index
+    assert (root / ".docloom/transcripts/b/three.txt.txt").read_text() == text.format("b/three.txt") and (root / ".docloom/facts/b/three.txt.md").exists()
+    done, written = run()  # an unchanged tree
+    assert counts() == (3, 2) and done.n_derived == 0 and written["documents"] == 0
+    (root / "a/x/two.txt").write_text(text.format("changed"))
+    done, written = run()
+    assert counts() == (4, 3) and written["documents"] == 1
+    # A folder without files loses its aggregate and index, a page by hand stays.
+    (root / "a/x/one.txt").unlink()
+    (root / "a/x/two.txt").unlink()
+    (root / "b/b.txt.md").write_text("by hand")
+    done, written = run()
+    assert written["deleted"] == 2 and not (root / "a/x/x.md").exists() and not (root / "a/a.md").exists() and (root / "b/b.md").exists()
+    # No file of a folder can be read any more: its aggregate becomes a flagged stub.
+    (root / "b/three.txt").unlink()
+    (root / "b/pic.png").write_bytes(b"x")
+    done, written = run()
+    assert "could be read" in (root / "b/b.md").read_text() and done.n_flagged == 1
+    assert {r.rel_path: r.reason for r in done.skipped.collect()} == {"b/b.txt.md": "unsupported", "b/b.md": "unsupported", "b/pic.png": "no reader for .png"}
+
+
+def test_failed_sections_of_a_written_state_are_tried_again(spark, tmp_path):
+    from docloom.plans import ingest
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.txt").write_text("Alt\n\n" + "Inhalt " * 30)
+    ingest.run(spark, str(tmp_path))
+    (tmp_path / "d/a.txt").write_text("Neu\n\n" + "Inhalt " * 30)
+
+    def failing(chunk, context):
+        raise RuntimeError("down")
+
+    done, _ = ingest.run(spark, str(tmp_path), extractor=failing)
+    assert "Alt" in (tmp_path / "d/d.md").read_text() and "down" in done.skipped.where("rel_path = 'd/a.txt'").first().reason
+    ingest.run(spark, str(tmp_path))
+    assert "Neu" in (tmp_path / "d/d.md").read_text()
+
+
+def test_external_readers(tmp_path):
+    from docloom.sources import external
+
+    assert external.program_reader(["cat", "{file}"], 5, ".txt")(b"abc") == "abc"
+    assert external.program_reader(["cp", "{file}", "{folder}/out.md"], 5, ".pdf", "out*.md")(b"made") == "made"
+    with pytest.raises(RuntimeError, match="not installed"):
+        external.program_reader(["no-such-program-here"], 5, ".png")(b"")
+    with pytest.raises(RuntimeError, match="exit 3: " + "x" * 2000 + "$"):
+        external.program_reader(["sh", "-c", "printf 'y%.0s' 1 2 3 >&2; head -c 2000 /dev/zero | tr '\\0' x >&2; exit 3"], 5, ".png")(b"")
+    with pytest.raises(RuntimeError, match="no output"):
+        external.program_reader(["true"], 5, ".pdf", "*.md")(b"")
+    assert external.with_ocr(lambda c: "layer")(b"") == "layer" and not external.available("no-such-program-here")
+    assert external.described_images(lambda url: url[:22], {".png": lambda c: "seen"})[".png"](b"1") == "data:image/png;base64,\n\nseen"
+
+
+def test_models(spark):
+    from docloom.operators import extraction
+    from docloom.plans.config import Config
+
+    asked = []
+    offer = lambda: asked.append(1) or ["a", "b"]
+    extraction.preflight({"a": offer, "b": offer})
+    assert asked == [1]
+    with pytest.raises(LookupError, match="c"):
+        extraction.preflight({"a": offer, "c": offer})
+    assert extraction.localized("p", "") == "p" and "nl" in extraction.localized("p", "nl")
+    assert Config(model="m", verify_model="v").models()["verify"] == ("v", "http://localhost:11434")
+    row = spark.createDataFrame([(bytearray(b"1"), "x.JPG"), (bytearray(b"1"), "x")], "c binary, n string").select(extraction.image_payload(F.col("c"), F.col("n")).alias("u")).collect()
+    assert [r.u for r in row] == ["data:image/jpeg;base64,MQ==", "data:image/png;base64,MQ=="]
+    with pytest.raises(ValueError):
+        Config(verify_host="https://far.example")
+    assert Config(verify_host="https://far.example", allowed_hosts=("far.example",)).summary()["allowed_hosts"] == "far.example"
+
+
+def test_lost_identifiers_reach_the_report(spark):
+    body = "Intro\n\n## One\n\n_Source: a.txt_\n\n" + "Kundennummer 1234567 steht hier. " * 8
+    concepts = spark.createDataFrame([("c1", "f/f.md", "FolderSummary", ["f/a.txt"], body), ("c2", ".x/f.md", "FolderSummary", ["f/a.txt"], body), ("c3", "g/g.md", "FolderSummary", ["g/none.txt"], body.replace("a.txt", "none.txt"))], "concept_id string, path string, okf_type string, sources array<string>, body string")
+    transcripts = spark.createDataFrame([("f/a.txt", "Kundennummer: 1234567\n" + "\n".join(f"Vertragsnummer: 88{i}0{i}77" for i in range(10)))], "rel_path string, text string")
+    found = {(r.concept_id, r.check_id): r for r in validation.findings(concepts, transcripts).collect()}
+    lost = found["c1", "identifiers"]
+    assert not lost.passed and lost.evidence.startswith("missing: Vertragsnummer=8800077") and lost.evidence.endswith("(+2 more)")
+    assert not any(c in ("c2",) for c, _ in found) and ("c3", "identifiers") not in found
+    report = {r.concept_id: r for r in validation.report(validation.findings(concepts, transcripts)).collect()}
+    assert not report["c1"].passed and report["c3"].passed
+    flagged = {r.concept_id: r.body for r in validation.with_banner(concepts, validation.report(validation.findings(concepts, transcripts))).collect()}
+    assert flagged["c1"].startswith("_Verification: FLAGGED — identifiers: ") and flagged["c3"] == concepts.where("concept_id = 'c3'").first().body
+
+
+def test_checkpoints_need_a_named_folder_on_a_cluster(spark):
+    from docloom import session
+
+    class Cluster:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: self, "getCheckpointDir": lambda self: self, "isDefined": lambda self: False})()
+
+    fake = type("S", (), {"conf": type("C", (), {"get": lambda self, *a: None})(), "sparkContext": Cluster()})()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(fake)

@@ -2,7 +2,7 @@
 
 import json
 
-from docloom.plans.dream import dream
+from docloom.plans.dream import dream, fold_tree
 from docloom.sources import extras
 
 SCHEMA = "path string, folder string, okf_type string, title string, tags array<string>, sources array<string>, identifiers map<string,array<string>>, body string"
@@ -13,28 +13,71 @@ def rows(b="Body B"):
     return [make("a/a.md", {"k": ["999888777"]}, "Intro\n\n## One\n\nx"), make("b/b.md", {"n": ["999888777"]}, b), make("c/c.md", {}, "Body C"), make("handbuch/h.md", {"k": ["999888777"]}, "Manual")]
 
 
-def test_dream(spark):
-    calls = []
+def counting(path, answer):
+    def model(text):
+        with open(path, "a") as f:
+            f.write("x")
+        return answer
 
-    def dive(text):
-        calls.append(text)
-        return "### Matter\nsame contract\n### Conflicts\nnone\n### Actions\npay"
+    return model
 
-    def scan(text):
-        calls.append("scan")
-        return "## Matters\n\nold\n\n## Patterns\n\np"
 
-    first = dream(spark.createDataFrame(rows(), SCHEMA), synthesize=scan)
+def n_calls(path):
+    return len(path.read_text()) if path.exists() else 0
+
+
+def test_dream(spark, tmp_path):
+    scans, dives = tmp_path / "scans", tmp_path / "dives"
+    models = {"synthesize": counting(str(scans), "## Matters\n\nold\n\n## Patterns\n\np"), "dive": counting(str(dives), "### Matter\nsame contract\n### Conflicts\nnone\n### Actions\npay")}
+    calls = lambda: (n_calls(scans), n_calls(dives))
+    tree = lambda *b: spark.createDataFrame(rows(*b), SCHEMA)
+    first = dream(tree(), **models)
     got = first.matters.collect()
-    assert [(r.group_key, r.slug, r.n_members) for r in got] == [("a/a.md", "matter-999888777", 2)]
-    assert calls == ["scan"] and "## Patterns\n\np" in first.synthesis
-    again = dream(spark.createDataFrame(rows(), SCHEMA), known_hash=first.source_hash, known_matters=first.matters, synthesize=scan)
-    assert again.synthesis is None and calls == ["scan"] and [r.report for r in again.matters.collect()] == [r.report for r in got]
-    moved = dream(spark.createDataFrame(rows("Body B2"), SCHEMA), known_hash=first.source_hash, known_matters=first.matters, synthesize=scan)
-    assert moved.synthesis is not None and moved.matters.collect()[0].source_hash != got[0].source_hash
-    assert dream(spark.createDataFrame(rows(), SCHEMA), synthesize=scan, budget=60).synthesis and calls.count("scan") == 2 + 4
-    assert dream(spark.createDataFrame([], SCHEMA), synthesize=scan).synthesis == ""
-    assert "same contract" in (dive("x") and dream(spark.createDataFrame(rows(), SCHEMA), synthesize=scan, dive=lambda t: "### Matter\nsame contract\n### Conflicts\nnone\n### Actions\npay").synthesis)
+    assert [(r.group_key, r.slug, r.n_members, r.members) for r in got] == [("a/a.md", "matter-999888777", 2, ["a/a.md", "b/b.md"])]
+    assert calls() == (1, 1) and "## Patterns\n\np" in first.synthesis and "same contract" in first.synthesis
+    for known in (first.matters, None):  # an unchanged tree makes no call, whatever is known of its matters
+        again = dream(tree(), known_hash=first.source_hash, known_matters=known, **models)
+        assert again.synthesis is None and calls() == (1, 1)
+    moved = dream(tree("Body B2"), known_hash=first.source_hash, known_matters=first.matters, **models)
+    assert moved.synthesis is not None and moved.matters.collect()[0].source_hash != got[0].source_hash and calls() == (2, 2)
+    dream(spark.createDataFrame([*rows(), ("d/d.md", "d", "FolderSummary", "d", [], ["d.pdf"], {}, "Body D")], SCHEMA), known_hash=first.source_hash, known_matters=first.matters, **models)
+    assert calls() == (3, 2)  # the matter's members are as they were
+    assert dream(tree(), budget=60, **models).synthesis and n_calls(scans) == 3 + 4  # three batches and one over the replies
+    assert dream(spark.createDataFrame([], SCHEMA), **models).synthesis == ""
+
+
+def test_fold_keeps_order_and_ends(spark):
+    texts = spark.createDataFrame([(f"{i:04}", f"t{i:04}") for i in range(3000)], "k string, t string").repartition(7)
+    joined = fold_tree(texts, "k", "t", lambda s: "".join(x[-5:] for x in s.split("\n\n")[-1:]), 700)
+    assert joined == "t2999"
+    assert fold_tree(texts.limit(0), "k", "t", str) == ""
+
+
+def test_dream_writes_a_tree(spark, tmp_path):
+    from docloom.__main__ import dashboard_page
+    from docloom.plans import dream as plan
+    from docloom.plans import ingest
+
+    root = tmp_path / "docs"
+    for name in ("a", "b", "c"):
+        (root / name).mkdir(parents=True)
+        (root / name / "doc.txt").write_text(f"Brief {name}\n\n" + ("Kundennummer: 99988877\n" if name != "c" else "") + "Ein Absatz mit Inhalt, der lang genug ist, um zu bestehen. " * 3)
+    ingest.run(spark, str(root))
+    done, counts = plan.run(spark, str(root), now="2024-01-01")
+    assert counts["synthesis"] == 1 and counts["matters"] == 1 and counts["readme"] == 1
+    page = next((root / "matters").glob("*.md")).read_text()
+    assert "type: 'Matter'" in page and "(../a/a.md)" in page and "(../b/b.md)" in page
+    readme = (root / "README.md").read_text()
+    assert "(a/a.md)" in readme and "| Folder aggregates | 3 |" in readme and "synthesis.md" in readme
+    again, counts = plan.run(spark, str(root), now="2024-01-01")
+    assert again.synthesis is None and counts["readme"] == 0
+    (root / "README.md").write_text("mine")
+    (root / "b/doc.txt").write_text("Brief b\n\n" + "Ganz anderer Inhalt, der lang genug ist, um zu bestehen. " * 3)
+    ingest.run(spark, str(root))
+    _, counts = plan.run(spark, str(root))
+    assert (root / "README.md").read_text() == "mine" and counts["deleted"] == 1 and not list((root / "matters").glob("*.md"))
+    assert dashboard_page(spark, str(root), str(tmp_path / "page.html")) == 0
+    assert (tmp_path / "page.html").read_text().count("<details>") == 5
 
 
 def test_extras(spark, tmp_path):
