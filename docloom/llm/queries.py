@@ -26,6 +26,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_bad(spark, sf_dir).select("concept_id", "field").distinct()
 
 
+def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each way of classifying a message gives."""
+    return p2_bad(spark, sf_dir).groupBy("kind", "path").agg(F.count_distinct("concept_id", "field").alias("n_values"), F.count_distinct("message").alias("n_messages"))
+
+
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     concepts = table(spark, sf_dir, "concepts")
     return residue.without_residue(concepts, "concept_id", ["body", "description"], p2_found(spark, sf_dir))
@@ -119,6 +124,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_bad": p2_bad,
     "p2_clean": p2_clean,
+    "p2_paths": p2_paths,
     "p3_found": p3_found,
     "p3_items": p3_items,
     "p3_masked": p3_masked,

@@ -1,10 +1,12 @@
 """Problem 2: template residue, filler, error messages and script notices.
 
 Every value is cut into messages: its sentences, its lines and the bracketed spans in it.
-Addresses, dates and numbers are masked, and equal masked messages are grouped by hash
-over all sources. Phrase and placeholder rules classify messages. Rules that are certain
-hold for any message; rules on ambiguous brackets hold only for messages that recur in
-several sources or rows.
+Addresses, dates and numbers are masked, and equal masked messages are grouped by exact
+hash over all sources. A message is widely recurring if it stands in a given share of all
+sources, more than once. Phrase and placeholder rules classify messages: broad word rules
+and ambiguous brackets speak only about widely recurring ones, certain phrases about any.
+A message that no rule has a word for would be grouped and then dropped, so it is left out
+before the grouping; the rows are the same.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ from pyspark.sql import functions as F
 
 from docloom.session import cut
 
-LEAST_SOURCES = 2
-LEAST_ROWS = 3
+#: A message is widely recurring if it stands in this share of all sources, and in two rows.
+WIDE_SHARE = 0.03
+WIDE_ROWS = 2
 
 # Phrases in the languages of the corpus, in lower case, numbers masked as 0.
 ERROR_PHRASES = (
@@ -41,6 +44,24 @@ SCRIPT_DEMANDS = (
     r"activer", r"activez", r"requis", r"active javascript", r"activar", r"desactivad", r"attivare", r"attivi", r"disattivat", r"schakel", r"uitgeschakeld", r"zet ze aan", r"noscript",
 )
 
+# Broad rules, for widely recurring messages only: something is wrong with something on a screen, or a text stands in for another.
+TROUBLE_WORDS = (
+    r"errors?", r"failed", r"failure", r"unavailable", r"expired", r"denied", r"forbidden", r"maintenance", r"try again", r"refresh", r"reload", r"oops", r"blocked", r"log in", r"sign in",
+    r"fehler", r"fehlgeschlagen", r"nicht erreichbar", r"abgelaufen", r"verweigert", r"wartungsarbeiten", r"erneut versuchen", r"versuchen sie es", r"neu laden", r"gesperrt", r"anmelden",
+    r"erreur", r"échoué", r"indisponible", r"expirée?", r"refusée?", r"réessayez", r"rechargez", r"interdit", r"connectez-vous",
+    r"fallado", r"caducad[ao]", r"expirad[ao]", r"denegad[ao]", r"inténtelo", r"vuelva a intentarlo", r"prohibido", r"inicie sesión",
+    r"errore", r"non riuscit[ao]", r"scadut[ao]", r"negato", r"riprov\p{L}*", r"ricaric\p{L}*", r"vietato", r"acced\p{L}* di nuovo",
+    r"fout", r"mislukt", r"onbereikbaar", r"verlopen", r"geweigerd", r"probeer het", r"opnieuw laden", r"verboden", r"inloggen",
+)
+SCREEN_WORDS = (
+    r"web ?sites?", r"web ?pages?", r"servers?", r"browsers?", r"url", r"https?", r"cookies?", r"captcha", r"gateway", r"proxy", r"firewall", r"database", r"log-?in", r"webseiten?", r"internetseiten?", r"datenbank", r"seite neu",
+    r"serveur", r"navigateur", r"page web", r"site web", r"servidor", r"navegador", r"página web", r"sitio web", r"pagina web", r"sito web", r"sito internet", r"webpagina", r"databank",
+)
+STAND_IN_WORDS = (
+    r"placeholder", r"platzhalter(?:text)?", r"beispieltext", r"mustertext", r"example text", r"insert text", r"(?:your )?text (?:goes )?here", r"texte d'exemple", r"texte provisoire", r"texto de ejemplo", r"texto provisional",
+    r"testo di esempio", r"testo provvisorio", r"voorbeeldtekst", r"plaatshouder", r"coming soon", r"under construction", r"no content yet", r"noch kein inhalt",
+)
+
 #: Spans that only templates write: {{x}}, {% x %}, ${x}, %%x%%, <<x>>, @@x@@, __X__
 CERTAIN_SPAN = r"\{\{[^{}\n]{0,80}\}\}|\{%[^{}\n]{0,80}%\}|\$\{[^{}\n]{0,80}\}|%%\p{L}[\p{L}\d_]{0,40}%%|<<\p{L}[\p{L}\d_ ]{0,40}>>|@@\p{L}[\p{L}\d_]{0,40}@@|__(?<![\p{L}\d_]__)\p{Lu}[\p{Lu}\d_]{0,40}?__(?![\p{L}\d_])"
 #: Spans that also occur otherwise: [X] (no link, no spelled-out address), <x> (no tag), «X» (one word), #X#
@@ -70,9 +91,18 @@ def message_kind(message: Column) -> Column:
     )
 
 
+def _words(words: tuple[str, ...]) -> str:
+    return _any(words) + r"(?![\p{L}\d_])"
+
+
+def broad_kind(message: Column) -> Column:
+    """Kind that a masked message has if it recurs widely, or null."""
+    return F.when(message.rlike(_words(SCREEN_WORDS)) & message.rlike(_words(TROUBLE_WORDS)), "error").when(message.rlike(_words(STAND_IN_WORDS)), "filler")
+
+
 #: Some rule may speak about a sentence in lower case, numbers not yet masked, white space as it is.
 _TRIGGER = (
-    r"(?<![\p{L}\d_])(?:" + "|".join((*ERROR_PHRASES, *FILLER_PHRASES, SCRIPT_WORDS)).replace("0 ", r"\d+ ").replace(" 0", r" \d").replace(" ", r"\s+")
+    r"(?<![\p{L}\d_])(?:" + "|".join((*ERROR_PHRASES, *FILLER_PHRASES, SCRIPT_WORDS, *SCREEN_WORDS, *STAND_IN_WORDS)).replace("0 ", r"\d+ ").replace(" 0", r" \d").replace(" ", r"\s+")
     + r")|^\s*(?:tbd|tba|[\p{L}_]{2,30}:\s*(?:\.\.\.|\[\.\.\.\]|path/to/\S*))[\s\x{85}\x{2028}\x{2029}]*$"
 )
 _SPAN_MARK = "\x01"
@@ -93,27 +123,32 @@ def _found(values: DataFrame) -> DataFrame:
     # The message of a span is the name in its brackets: one message however a template marks it.
     name = F.trim(F.regexp_replace(F.lower("part"), r"\|.*|[^\p{L}\d ]+", " "))
     parts = parts.select(*where, "part", "is_span", F.when(F.col("is_span"), name).otherwise(masked(F.col("part"))).alias("message"))
-    kind = F.when(F.col("is_span"), "placeholder").otherwise(message_kind(F.col("message")))
-    certain = ~F.col("is_span") | F.col("part").rlike(CERTAIN_SPAN)
+    parts = parts.select(*where, "part", "is_span", "message", F.when(~F.col("is_span"), message_kind(F.col("message"))).alias("sure"))
+    certain = F.when(F.col("is_span"), F.col("part").rlike(CERTAIN_SPAN)).otherwise(F.col("sure").isNotNull())
+    kind = F.when(F.col("is_span"), "placeholder").otherwise(F.coalesce("sure", broad_kind(F.col("message"))))
     return parts.select(*where, kind.alias("kind"), certain.alias("certain"), "message").where(F.col("kind").isNotNull())
 
 
-def residue(df: DataFrame, key: str, fields: list[str], source: str, least_sources: int = LEAST_SOURCES, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """key, field, kind, message, n_rows, n_sources: the bad messages of each value, with the values and sources that hold them.
+def residue(df: DataFrame, key: str, fields: list[str], source: str, wide_share: float = WIDE_SHARE) -> DataFrame:
+    """key, field, kind, message, path, n_rows, n_sources: the bad messages of each value, with the rows and sources that hold them.
 
-    kind is placeholder, filler, error or script. A value whose rule is certain is listed
-    even if its message is the only one; ambiguous brackets need the same name in
-    least_sources sources or least_rows rows (n_sources is exact up to 2). Null and empty
-    values have no messages; repeated rows count as rows; a null source is a source.
+    kind is placeholder, filler, error or script. path is 'recurring' for a message that
+    stands in at least wide_share of all sources and in two rows, else 'phrase': a certain
+    rule that needs no recurrence. The share does not depend on the size of the table. A
+    span that a certain bracket marks anywhere is certain everywhere. Null and empty values
+    have no messages; repeated rows count as rows; a null source is a source of its own.
     """
-    values = df.select(F.col(key).alias("_key"), F.coalesce(F.col(source), F.lit("")).alias("_source"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("_f"))
+    own = F.coalesce(F.col(source), F.lit(""))
+    values = df.select(F.col(key).alias("_key"), own.alias("_source"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("_f"))
     values = values.where(F.col("_f.value").isNotNull()).select("_key", "_source", "_f.field", "_f.value")
     found = cut(_found(values).distinct().withColumn("hash", F.xxhash64("kind", "message")))
-    stats = found.groupBy("hash").agg(
-        F.count("*").alias("n_rows"), F.when(F.min("_source") == F.max("_source"), 1).otherwise(2).alias("n_sources"), F.max("certain").alias("sure_elsewhere")
-    )
-    recurs = F.col("certain") | F.col("sure_elsewhere") | (F.col("n_sources") >= least_sources) | (F.col("n_rows") >= least_rows)
-    return found.join(stats, "hash").where(recurs).select(F.col("_key").alias(key), "field", "kind", "message", "n_rows", "n_sources")
+    # Counts a source first, so that a hot message is many small groups; then over sources.
+    by_source = found.groupBy("hash", "_source").agg(F.count("*").alias("n"), F.max("certain").alias("certain"))
+    stats = by_source.groupBy("hash").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_sources"), F.max("certain").alias("sure_elsewhere"))
+    sources = df.agg(F.count_distinct(own).alias("all_sources"))  # one row
+    stats = stats.crossJoin(F.broadcast(sources)).withColumn("wide", (F.col("n_rows") >= WIDE_ROWS) & (F.col("n_sources") >= wide_share * F.col("all_sources")))
+    kept = found.join(stats, "hash").where(F.col("wide") | F.col("certain") | F.col("sure_elsewhere"))
+    return kept.select(F.col("_key").alias(key), "field", "kind", "message", F.when(F.col("wide"), "recurring").otherwise("phrase").alias("path"), "n_rows", "n_sources")
 
 
 def without_residue(df: DataFrame, key: str, fields: list[str], bad: DataFrame) -> DataFrame:

@@ -57,6 +57,19 @@ def test_residue(spark):
     assert residue.residue(df.limit(0), "id", ["body", "description"], "src").count() == 0
 
 
+def test_unlisted_messages_are_found_where_they_recur(spark):
+    """A message that no certain phrase knows counts if it stands in a share of the sources, whatever the size of the table."""
+    own = "Our web site is having a rest, please try again in {} minutes."
+    for n in (40, 400):
+        rows = [(i, f"s{i % 20}", f"Guten Tag {i}.\n{own.format(i)}" if i % 20 < 2 else "Der Router meldete den Fehler 500 im Keller." if i % 2 else "text") for i in range(n)] + [(9000, "s3", "The web server said: try again, but once only.")]
+        df = frame(spark, rows, "id int, src string, body string")
+        bad = residue.residue(df, "id", ["body"], "src").collect()
+        assert {x.id for x in bad} == {i for i in range(n) if i % 20 < 2} and {(x.kind, x.path, x.n_sources) for x in bad} == {("error", "recurring", 2)}
+        assert residue.residue(df, "id", ["body"], "src", wide_share=0.2).count() == 0
+    null = frame(spark, [(1, None, own.format(3)), (2, None, own.format(44)), (3, "a", "x")], "id int, src string, body string")
+    assert residue.residue(null, "id", ["body"], "src").count() == 2
+
+
 def test_residue_trigger_is_wider_than_the_rules(spark):
     plain = ["tbd", "tba", "betrag: ...", "betrag: [...]", "ordner: path/to/file", "access denied", "you lack permission", "404 not found", "403.1 forbidden", "http error 502", "lorem ipsum", "service is temporarily unavailable", "todo todo", "please enable javascript", "gateway time-out"]
     variants = [v for x in plain for y in (x, x.upper()) for v in (y, f" {y}", f"{y}  ", f"\t{y} \t", y.replace(" ", "  "), y.replace(" ", "\t"), f"{y}\u2028 ") if not ("path/to" in x and y != x)]
