@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import OWN_TYPES, RESERVED_NAMES
 from docloom.operators.folders import changed_rows
 from docloom.sources.okf import parse_document
+from docloom.sources.state import load_state, save_state  # noqa: F401
 
 
 def missing_transcripts(files: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -89,28 +89,6 @@ def delete_own(paths: DataFrame, root: str, types: tuple[str, ...] = OWN_TYPES)
     return paths.select("path").mapInPandas(go, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def save_state(frame: DataFrame, folder: str, keep: int = 2) -> str:
-    """Write a frame as the next numbered version below a folder on a shared disk, then name it current by one atomic rename; older versions beyond `keep` go. Whatever fails before the rename, the last version stays the current one."""
-    numbers = [int(n) for n in os.listdir(folder) if n.isdigit()] if os.path.isdir(folder) else []
-    version = f"{max(numbers, default=0) + 1:08d}"
-    frame.write.mode("overwrite").parquet(f"{folder}/{version}")
-    with open(f"{folder}/.current.part", "w") as f:
-        f.write(version)
-    os.replace(f"{folder}/.current.part", f"{folder}/.current")
-    for n in sorted(numbers)[: -keep or None]:
-        shutil.rmtree(f"{folder}/{n:08d}", ignore_errors=True)
-    return version
-
-
-def load_state(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The current version below a folder, or None."""
-    try:
-        with open(f"{folder}/.current") as f:
-            return spark.read.parquet(f"{folder}/{f.read().strip()}")
-    except FileNotFoundError:
-        return None
-
-
 def append_calls(calls: DataFrame, folder: str) -> None:
     """Calls as lines of JSON."""
     calls.write.mode("append").json(folder)

@@ -201,6 +201,46 @@ def test_pending_files(spark):
     assert incremental.pending_files(make([], FILES), make(concepts, CONCEPTS), make(runs, RUNS)).count() == 0
 
 
+def test_kept_state_reads_only_what_was_loaded_since(spark, tmp_path):
+    """Against a run over everything, with late scans, failed runs and a transaction that was open for long; what was loaded before the bound is not read again."""
+    import random
+
+    r = random.Random(4)
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    files, kept, concepts, runs = str(tmp_path / "files"), str(tmp_path / "kept"), [], []
+    for step in range(4):
+        now = 10 * (step + 1)
+        late = [scan(f"f{r.randint(0, 3)}/{r.randint(0, 30)}.txt", r.choice(["AA", "bb", "sha256:cc", None]), r.randint(max(0, now - 15), now), r.randint(now - 9, now)) for _ in range(60)]
+        make(late, FILES).coalesce(1).write.parquet(f"{files}/part={step}")
+        if step == 2:  # written by the transaction that was open at the run before
+            make([scan("f1/slow.txt", "dd", 11, 14)], FILES).coalesce(1).write.parquet(f"{files}/part=9")
+        table = spark.read.schema(FILES).parquet(*[f"{files}/{p}" for p in sorted(p.name for p in (tmp_path / "files").iterdir() if p.name.startswith("part="))])
+        args = make(concepts, CONCEPTS), make(runs, RUNS)
+        want = {(x.rel_path, x.version, x.change) for x in incremental.pending_files(table, *args).collect()}
+        done = incremental.pending_since(table, *args, kept)
+        assert {(x.rel_path, x.version, x.change) for x in done.pending.collect()} == want and want
+        if step in (1, 3):
+            plan = done.known._jdf.queryExecution().toString()
+            assert "loaded_at,2025" in plan.split("PushedFilters", 1)[1].replace("GreaterThanOrEqual(", "") if runs else True
+        # The work of this run; f3 fails.
+        status = "failed" if step == 1 else "success"
+        newest = {(x.folder, x.rel_path): x for x in done.known.collect()}
+        for f in ("f0", "f1", "f2"):
+            own = [x for (folder, _), x in newest.items() if folder == f]
+            concepts.append((len(concepts), f, "FolderSummary", day(now), day(now), f"r{step}", [x.rel_path for x in own], {x.name: x.version for x in own}))
+        runs.append((f"r{step}", 1, day(now), day(now) if status == "success" else None, status))
+        if step == 1:
+            runs.append(("slow", 1, day(13), day(31), "success"))
+        done = incremental.pending_since(table, make(concepts, CONCEPTS), make(runs, RUNS), kept)
+        incremental.keep(done, kept)
+    # What lies before the bound of the last run may be gone: it is known.
+    bound = spark.read.parquet(f"{kept}/bound/{(tmp_path / 'kept/bound/.current').read_text()}").first()["bound"]
+    later = table.where(F.col("loaded_at") >= F.lit(bound).cast("timestamp"))
+    args = make(concepts, CONCEPTS), make(runs, RUNS)
+    assert later.count() < table.count()
+    assert {tuple(x) for x in incremental.pending_since(later, *args, kept).pending.collect()} == {tuple(x) for x in incremental.pending_since(table, *args, kept).pending.collect()}
+
+
 def test_yaml_round_trip(spark):
     rows = [("Fact", "It's: [odd]", ["a", "b"], {"f.pdf": "12"}, {"nr": ["0123", "x"]}, "Body\n\n---\n\ntext")]
     df = spark.createDataFrame(rows, "type string, title string, tags array<string>, hashes map<string,string>, ids map<string,array<string>>, body string")
