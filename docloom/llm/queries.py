@@ -101,20 +101,19 @@ def p9_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("dimension", "value", *(F.round(c, 9).alias(c) for c in ("corpus_share", "weighted_share", "actual_share")))
 
 
-def _p10(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return shared_spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_spans.document_pairs(*_p10(spark, sf_dir))
+    return shared_spans.document_pairs(*shared_spans.shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _p10(spark, sf_dir)[1]
+    _, windows = shared_spans.window_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    rows = shared_spans.shared_stretches(windows).drop("class_id")
+    return rows.withColumnRenamed("key", "doc_id").withColumnRenamed("first_key", "first_doc")
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = shared_spans.shared_shares(table(spark, sf_dir, "documents"), "doc_id", "text", *_p10(spark, sf_dir))
+    documents = table(spark, sf_dir, "documents")
+    shares = shared_spans.shared_shares(documents, "doc_id", "text", *shared_spans.window_classes(documents, "doc_id", "text"))
     return shares.withColumn("share", F.round("share", 9))
 
 
@@ -189,16 +188,24 @@ _P10_FOUND = _P10 + """
 select distinct x.doc_id as doc_id_a, y.doc_id as doc_id_b from m x join m y on x.rep = y.rep where x.doc_id < y.doc_id
 union select x.doc_id, y.doc_id from l join m x on x.rep = l.a join m y on y.rep = l.b where x.doc_id < y.doc_id
 """
-_P10_SHARES = _P10 + """,
-c as (select rep, sum(step)::bigint as covered from (select rep, least(300, coalesce(p - lag(p) over (partition by rep order by p), 300)) as step from x) group by 1),
-k as (select a as rep, count(*) as links from l group by 1),
-t as (select doc_id, length(text)::int as n_chars, case when copies > 1 then length(text) else coalesce(covered, 0) end::int as shared_chars, coalesce(copies - 1, 0) + coalesce(links, 0) as n_links
-  from documents left join (select doc_id, rep, copies from m) using (doc_id) left join c using (rep) left join k using (rep) where text is not null)
-select doc_id, n_chars, shared_chars, round(case when n_chars > 0 then shared_chars / n_chars else 0 end, 9) as share, n_links from t
+_P10_WINDOWS = _P10 + """,
+k as (select h, count(distinct rep) as n_texts, min(rep) as first_doc, string_agg(distinct rep, ',' order by rep) as texts from w group by 1 having count(distinct rep) > 1),
+v as (select rep, p, n_texts, first_doc, texts from w join k using (h))
+"""
+_P10_SPANS = _P10_WINDOWS + """
+select rep as doc_id, min(p)::int as start_at, (max(p) - min(p) + 300)::int as length, n_texts, first_doc
+from (select *, p - row_number() over (partition by rep, texts order by p) as run from v) group by rep, texts, n_texts, first_doc, run
+"""
+_P10_SHARES = _P10_WINDOWS + """,
+c as (select rep, sum(step)::int as covered, max(n_texts) as n_texts from (select rep, n_texts, least(300, coalesce(p - lag(p) over (partition by rep order by p), 300)) as step from v) group by 1),
+t as (select doc_id, length(text)::int as n_chars, case when copies > 1 then length(text) else coalesce(covered, 0) end::int as shared_chars, coalesce(copies - 1, 0) as n_copies, coalesce(n_texts, 1) as n_texts
+  from documents left join (select doc_id, rep, copies from m) using (doc_id) left join c using (rep) where text is not null)
+select doc_id, n_chars, shared_chars, round(case when n_chars > 0 then shared_chars / n_chars else 0 end, 9) as share, n_copies, n_texts from t
 """
 
 ORACLE = {
     "p10_found": _P10_FOUND,
+    "p10_spans": _P10_SPANS,
     "p10_shares": _P10_SHARES,
     "p8_found": _P8,
     "p1_found": "select concept_id from concepts where length(body) > 8000",

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.charbatch import batches, char_hashes, code_points, flat, mix
@@ -182,22 +182,82 @@ def document_pairs(members: DataFrame, spans: DataFrame) -> DataFrame:
     return every.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 
-def shared_shares(df: DataFrame, key: str, text: str, members: DataFrame, spans: DataFrame) -> DataFrame:
-    """key, n_chars, shared_chars, share, n_links for each row with a text: characters covered by spans found elsewhere; exact copies are shared whole."""
-    sides = spans.select(F.col("a").alias("rep"), F.col("b").alias("other"), F.col("start_a").alias("s"), "length").unionByName(
-        spans.select(F.col("b").alias("rep"), F.col("a").alias("other"), F.col("start_b").alias("s"), "length")
-    )
-    ends = F.struct(F.col("s").alias("s"), (F.col("s") + F.col("length")).alias("e"))
-    folded = F.aggregate(
-        F.array_sort(F.collect_set(ends)),
-        F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),
-        lambda acc, x: F.struct((acc["sum"] + F.greatest(x["e"] - F.greatest(x["s"], acc["end"]), F.lit(0))).alias("sum"), F.greatest(acc["end"], x["e"]).alias("end")),
-    )
-    covered = sides.groupBy("rep").agg(folded["sum"].alias("covered"), F.count_distinct("other").alias("n_links"))
+def window_classes(df: DataFrame, key: str, text: str, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(members: key, rep) and (key, start, n_texts, class_id, first_key of every window of `least` characters that stands in more than one different text).
+
+    No pairs are made: a window's class is its hash, with the number of its texts and their
+    smallest key; n texts with one common passage give n rows a window, not n squared. A window
+    holds a chosen shorter window wherever it stands, so only windows around chosen ones that
+    several texts have are hashed. class_id is one number for each set of texts. Ends of
+    common passages are exact, which extending each text against one representative would
+    not give: two texts may have more in common with each other than with that one.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    length = block_length(least)
+    width = least - length + 1
+    texts = df.where(F.length(text) >= least).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    members = cut(representatives(df, key, text, least))
+
+    def choose(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            whole = part.column(1).to_pylist()
+            rows, hashes, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for a, b in batches(whole):
+                codes, starts = flat(whole[a:b])
+                all_ = rolling(codes, length)
+                for i in range(b - a):
+                    own = all_[starts[i] : starts[i + 1] - length]
+                    at = smallest(own, width)
+                    rows.append(np.full(len(at), a + i))
+                    hashes.append(own[at])
+                    places.append(at)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(places), pa.int32())], names=["key", "hash", "at"])
+
+    def hash_around(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows, starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for i, (t, at) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                own = rolling(code_points(t), least)
+                edge = np.zeros(len(own) + 1, np.int64)
+                at = np.array(at, np.int64)
+                np.add.at(edge, np.clip(at - (width - 1), 0, len(own)), 1)
+                np.add.at(edge, np.clip(at + 1, 0, len(own)), -1)
+                around = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+                rows.append(np.full(len(around), i))
+                starts.append(around)
+                hashes.append(own[around])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(hashes).view(np.int64))], names=["key", "start", "hash"])
+
+    copies = members.where("key <> rep").select("key")
+    marks = cut(texts.mapInArrow(choose, f"key {kind}, hash bigint, at int").join(copies, "key", "left_anti"))
+    shared = marks.groupBy("hash").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("hash")
+    anchors = marks.join(shared, "hash").groupBy("key").agg(F.collect_list("at").alias("ats"))  # places in one text
+    windows = cut(texts.join(anchors, "key").select("key", "text", "ats").mapInArrow(hash_around, f"key {kind}, start int, hash bigint"))
+    # Distinct first: partial, and no group of a hot window is gathered.
+    own = windows.select("hash", "key").distinct()
+    classes = own.groupBy("hash").agg(F.count("*").alias("n_texts"), F.bit_xor(F.xxhash64("key")).alias("class_id"), F.min("key").alias("first_key")).where("n_texts > 1")
+    return members, cut(windows.join(classes, "hash").select("key", "start", "n_texts", "class_id", "first_key"))
+
+
+def shared_stretches(windows: DataFrame, least: int = LEAST) -> DataFrame:
+    """key, start_at, length, n_texts, first_key, class_id: the maximal stretches of a text whose windows all stand in the same set of texts, positions from 1.
+
+    Every common passage of two texts is a run of such stretches; the texts of a stretch are
+    those with its class_id.
+    """
+    order = Window.partitionBy("key", "class_id").orderBy("start")  # the windows of one text
+    runs = windows.withColumn("run", F.col("start") - F.row_number().over(order)).groupBy("key", "class_id", "n_texts", "first_key", "run").agg(F.min("start").alias("s"), F.max("start").alias("e"))
+    return runs.select("key", (F.col("s") + 1).alias("start_at"), (F.col("e") - F.col("s") + least).alias("length"), "n_texts", "first_key", "class_id")
+
+
+def shared_shares(df: DataFrame, key: str, text: str, members: DataFrame, windows: DataFrame, least: int = LEAST) -> DataFrame:
+    """key, n_chars, shared_chars, share, n_copies, n_texts for each row with a text: characters in windows found elsewhere (exact copies are shared whole), other exact copies, and the most different texts that have one window of it."""
+    order = Window.partitionBy("key").orderBy("start")  # the windows of one text
+    step = F.least(F.lit(least), F.coalesce(F.col("start") - F.lag("start").over(order), F.lit(least)))
+    covered = windows.withColumn("step", step).groupBy(F.col("key").alias("rep")).agg(F.sum("step").cast("int").alias("covered"), F.max("n_texts").alias("n_texts"))
     crowd = members.groupBy("rep").agg((F.count("*") - 1).alias("copies"))
-    known = members.join(crowd, "rep").join(covered, "rep", "left").select(F.col("key").alias(key), "copies", "covered", "n_links")
+    known = members.join(crowd, "rep").join(covered, "rep", "left").select(F.col("key").alias(key), "copies", "covered", "n_texts")
     rows = df.where(F.col(text).isNotNull()).select(key, F.length(text).alias("n_chars")).join(known, key, "left")
     shared = F.when(F.coalesce("copies", F.lit(0)) > 0, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)))
-    return rows.select(
-        key, "n_chars", shared.alias("shared_chars"), F.when(F.col("n_chars") > 0, shared / F.col("n_chars")).otherwise(F.lit(0.0)).alias("share"), (F.coalesce("copies", F.lit(0)) + F.coalesce("n_links", F.lit(0))).alias("n_links")
-    )
+    share = F.when(F.col("n_chars") > 0, shared / F.col("n_chars")).otherwise(F.lit(0.0))
+    return rows.select(key, "n_chars", shared.alias("shared_chars"), share.alias("share"), F.coalesce("copies", F.lit(0)).alias("n_copies"), F.coalesce("n_texts", F.lit(1)).alias("n_texts"))

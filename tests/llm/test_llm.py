@@ -505,12 +505,43 @@ def test_shared_spans_against_brute_force(spark):
         a, b = text[x.a], text[x.b]
         assert a[x.start_a - 1 : x.start_a - 1 + x.length] == b[x.start_b - 1 : x.start_b - 1 + x.length]
         assert x.start_a == 1 or x.start_b == 1 or a[x.start_a - 2] != b[x.start_b - 2]
-    shares = {x.doc_id: x for x in shared_spans.shared_shares(df, "doc_id", "text", members, found).collect()}
-    assert shares[100].share == 1 and shares[103].share == 0 and 102 not in shares
-    links = {k: sum(k in p for p in true) for k in text}
-    assert shares[0].n_links == links[0] == 0
     assert shared_spans.document_pairs(*shared_spans.shared_spans(df.limit(0), "doc_id", "text")).count() == 0
 
+    # Shares and stretches, without pairs: against sets of windows.
+    members, windows = shared_spans.window_classes(df, "doc_id", "text")
+    rep = {k: min(j for j in text if text[j] == t) for k, t in text.items()}
+    where = {}
+    for k in set(rep.values()):
+        for i in range(len(text[k]) - 299):
+            where.setdefault(text[k][i : i + 300], set()).add(k)
+    want = {(k, i): where[text[k][i : i + 300]] for k in set(rep.values()) for i in range(len(text[k]) - 299) if len(where[text[k][i : i + 300]]) > 1}
+    assert {(x.key, x.start): (x.n_texts, x.first_key) for x in windows.collect()} == {at: (len(ks), min(ks)) for at, ks in want.items()}
+    shares = {x.doc_id: x for x in shared_spans.shared_shares(df, "doc_id", "text", members, windows).collect()}
+    for k, t in text.items():
+        if k == 102:
+            assert k not in shares
+            continue
+        copies = sum(rep[j] == rep[k] for j in text) - 1 if len(t) >= 300 else 0
+        covered = len({p for (j, i) in want if j == rep[k] for p in range(i, i + 300)})
+        assert (shares[k].shared_chars, shares[k].n_copies) == (len(t) if copies else covered, copies)
+    for x in shared_spans.shared_stretches(windows).collect():
+        part = text[x.key][x.start_at - 1 : x.start_at - 1 + x.length]
+        assert len(part) == x.length >= 300 and sum(part in text[k] for k in set(rep.values())) == x.n_texts
+    assert shared_spans.window_classes(df.limit(0), "doc_id", "text")[1].count() == 0
+
+
+def test_one_footer_in_many_texts_is_work_in_proportion(spark):
+    r = random.Random(5)
+    make = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    footer = make(420)
+    for n in (500, 2000):
+        df = frame(spark, [(i, make(350) + footer) for i in range(n)], "doc_id int, text string")
+        members, windows = shared_spans.window_classes(df, "doc_id", "text")
+        rows = windows.groupBy("n_texts").count().collect()
+        assert sum(x["count"] for x in rows) <= n * 130 and {x.n_texts for x in rows if x["count"] >= n} == {n}
+        shares = shared_spans.shared_shares(df, "doc_id", "text", members, windows)
+        assert shares.agg(F.min("n_texts"), F.min("shared_chars")).first() == (n, 420)
+
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 6), min_size=0, max_size=80), st.integers(1, 12))
