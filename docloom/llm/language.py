@@ -259,13 +259,14 @@ def segments(bodies: list[str | None], profiles: Profiles) -> Iterator[list[tupl
 
 def _train_on(df: DataFrame, label: str, text: str, train_rows: int) -> Profiles:
     usable = df.where(F.col(label).isNotNull() & F.length(text).between(200, 4000)).select(label, text)
-    return train([(r[0], r[1]) for r in usable.limit(train_rows).collect()])
+    # Those with the smallest hashes: rows from all over the table, the same in whatever order it is read.
+    return train([(r[0], r[1]) for r in usable.orderBy(F.xxhash64(text), text, label).limit(train_rows).collect()])
 
 
 def segment_languages(df: DataFrame, key: str, label: str, text: str, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """key, label, segment_no, start_at, lang, confidence, n_words, n_letters for each segment of each text.
 
-    Prototypes are fitted on at most train_rows labelled rows; every text is classified,
+    Prototypes are fitted on at most train_rows labelled rows, drawn by a hash of the text; every text is classified,
     whole. Null and empty texts have no segments; repeated rows repeat theirs.
     """
     profiles = _train_on(df, label, text, train_rows)

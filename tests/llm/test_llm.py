@@ -538,9 +538,9 @@ def test_one_footer_in_many_texts_is_work_in_proportion(spark):
         df = frame(spark, [(i, make(350) + footer) for i in range(n)], "doc_id int, text string")
         members, windows = shared_spans.window_classes(df, "doc_id", "text")
         rows = windows.groupBy("n_texts").count().collect()
-        assert sum(x["count"] for x in rows) <= n * 130 and {x.n_texts for x in rows if x["count"] >= n} == {n}
-        shares = shared_spans.shared_shares(df, "doc_id", "text", members, windows)
-        assert shares.agg(F.min("n_texts"), F.min("shared_chars")).first() == (n, 420)
+        assert n * 121 <= sum(x["count"] for x in rows) <= n * 126 and {x.n_texts: x["count"] for x in rows}[n] == n * 121
+        shares = shared_spans.shared_shares(df, "doc_id", "text", members, windows).agg(F.min("n_texts"), F.min("shared_chars"), F.max("shared_chars")).first()
+        assert shares[0] == n and 420 <= shares[1] <= shares[2] <= 430  # a few characters before the footer agree by chance
 
 
 @settings(max_examples=60, deadline=None)
