@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import gating, text
 from docloom.operators import calls, chunking, digests, folders, merging, search, tokens, validation
-from docloom.plans import incremental_queries
+from docloom.plans import document_queries, incremental_queries
 from docloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,56 +210,122 @@ def digest(spark, d):
     return rows.select("concept_id", digests.digest(*(F.col(c) for c in ("path", "title", "tags", "sources", "identifiers", "body"))).alias("digest"))
 
 
-@query()
+@query(
+    "with recursive" + _DIGEST.strip().removeprefix("with")
+    + """, l as (select c.folder, dg.concept_id, length(digest) as n, row_number() over (partition by c.folder order by dg.concept_id) as i from dg join concepts c using (concept_id) where dg.path is not null),
+r(folder, concept_id, i, size, batch_no) as (
+  select folder, concept_id, i, n + 2, 1 from l where i = 1
+  union all
+  select l.folder, l.concept_id, l.i, case when r.size + l.n + 2 > 1000 then l.n + 2 else r.size + l.n + 2 end, case when r.size + l.n + 2 > 1000 then r.batch_no + 1 else r.batch_no end
+  from r join l on l.folder is not distinct from r.folder and l.i = r.i + 1)
+select folder, concept_id, batch_no from r"""
+)
 def digest_batches(spark, d):
     rows = digest(spark, d).join(table(spark, d, "concepts").select("concept_id", "folder"), "concept_id").select("folder", "concept_id", F.length("digest").alias("n_chars"))
     return digests.batches(rows, "folder", "concept_id", "n_chars", 1000)
 
 
 _FINDINGS = r"""
-with a as (select concept_id, path, okf_type, coalesce(sources, []) as sources, coalesce(body, '') as body from concepts where okf_type in ('FolderSummary', 'Matter')),
+with a as (select concept_id, path, okf_type, coalesce(sources, []) as sources, coalesce(body, '') as body from concepts where okf_type in ('FolderSummary', 'Matter') and not coalesce(regexp_matches(path, '(^|/)\.'), false)),
 b as (
   select *, case when okf_type = 'FolderSummary'
     then list_filter(sources, lambda s: not list_contains(list_transform(list_filter(string_split(body, chr(10)), lambda x: regexp_full_match(x, '_Source: .+_')), lambda x: x[10:-2]), regexp_extract(s, '[^/]*$')))
     else list_filter(sources, lambda s: not contains(body, s)) end as missing,
-  length(regexp_replace(body, '^\s+|\s+$', '', 'g')) as n,
+  length(regexp_replace(body, '^\s+|\s+$', '', 'g')) as n, len(regexp_extract_all(body, '(?m)^type:\s*\S+\s*$')) as leaks,
+  list_sort(list_distinct(list_transform(regexp_extract_all(body, '(?mi)^\s*(title|description|tags|source|timestamp):\s*(\.\.\.|\[\.\.\.\]|path/to/)', 1), lambda x: lower(x)))) as open_keys,
+  list_filter(['here is the output', 'here''s the output', 'in valid okf', 'as an ai', 'focus on quality over quantity'], lambda p: contains(lower(body), p)) as meta,
   list_filter(list_transform(string_split_regex(body, '\n\s*\n'), lambda x: regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '\d', '#', 'g')), lambda x: length(x) >= 40) as bl from a),
-c as (select *, list_filter(list_distinct(bl), lambda x: len(list_filter(bl, lambda y: y = x)) > 2) as again from b)
-select concept_id, 'sources' as check_id, len(sources) > 0 as passed from c
-union all select concept_id, 'density', n / len(sources) >= 80 from c where len(sources) > 0
-union all select concept_id, 'citations', len(missing) = 0 from c
-union all select concept_id, 'leak', not regexp_matches(body, '(?m)^type:\s*\S+\s*$') from c
-union all select concept_id, 'placeholder', not regexp_matches(body, '(?mi)^\s*(title|description|tags|source|timestamp):\s*(\.\.\.|\[\.\.\.\]|path/to/)') from c
-union all select concept_id, 'repeats', len(again) = 0 from c
-union all select concept_id, 'meta', not (contains(lower(body), 'here is the output') or contains(lower(body), 'here''s the output') or contains(lower(body), 'in valid okf') or contains(lower(body), 'as an ai') or contains(lower(body), 'focus on quality over quantity')) from c
+c as (select *, list_filter(bl, lambda x: len(list_filter(bl, lambda y: y = x)) > 2) as again from b),
+found as (
+  select concept_id, 'sources' as check_id, len(sources) > 0 as passed, 'no sources' as why from c
+  union all select concept_id, 'density', n / len(sources) >= 80, floor(n / len(sources))::bigint || ' characters a source' from c where len(sources) > 0
+  union all select concept_id, 'citations', len(missing) = 0, array_to_string(missing[1:8], ', ') || case when len(missing) > 8 then ' (+' || (len(missing) - 8) || ' more)' else '' end from c
+  union all select concept_id, 'leak', leaks = 0, leaks || ' type lines' from c
+  union all select concept_id, 'placeholder', len(open_keys) = 0, array_to_string(open_keys, ', ') from c
+  union all select concept_id, 'repeats', len(again) = 0, again[1][1:80] from c
+  union all select concept_id, 'meta', len(meta) = 0, array_to_string(meta, ', ') from c),
+findings as (select concept_id, check_id, passed, case when passed then '' else why end as evidence from found)
 """
 
 
-@query(_FINDINGS)
+@query(_FINDINGS + "select * from findings")
 def validate_findings(spark, d):
-    return validation.findings(table(spark, d, "concepts")).select("concept_id", "check_id", "passed")
+    return validation.findings(table(spark, d, "concepts")).select("concept_id", "check_id", "passed", "evidence")
 
 
-@query(f"select concept_id, count(*) as n_checks, count(*) filter (not passed) as n_failed, bool_and(passed) as passed from ({_FINDINGS}) group by 1")
+_REPORT = "_Verification: FLAGGED — "
+
+
+@query(
+    _FINDINGS
+    + f"""select concept_id, count(*) as n_checks, count(*) filter (not passed) as n_failed, bool_and(passed) as passed,
+    coalesce(string_agg('{_REPORT}' || check_id || ': ' || evidence || '_', chr(10) || chr(10) order by '{_REPORT}' || check_id || ': ' || evidence || '_') filter (not passed), '') as banner from findings group by 1"""
+)
 def validate_report(spark, d):
-    return validation.report(validation.findings(table(spark, d, "concepts"))).drop("banner")
+    return validation.report(validation.findings(table(spark, d, "concepts")))
 
 
-@query(f"select count(*) as n_aggregates, count(*) filter (not p) as n_flagged, case when count(*) filter (not p) > 0 then 1 else 0 end as exit_code from (select concept_id, bool_and(passed) as p from ({_FINDINGS}) group by 1)")
+@query(_FINDINGS + "select count(*) as n_aggregates, count(*) filter (not p) as n_flagged, case when count(*) filter (not p) > 0 then 1 else 0 end as exit_code from (select concept_id, bool_and(passed) as p from findings group by 1)")
 def validate_summary(spark, d):
     return validate_report(spark, d).agg(F.count("*").alias("n_aggregates"), F.count_if(~F.col("passed")).alias("n_flagged")).withColumn("exit_code", (F.col("n_flagged") > 0).cast("int"))
 
 
-@query()
+_LABELS = "|".join(sorted(tokens.IDENTIFIER_LABELS, key=len, reverse=True))
+_LABELLED = rf"(?i)({_LABELS})[\s:]*({tokens.VALUE_FIRST}(?: {tokens.VALUE_MORE}){{0,{tokens.VALUE_MORE_MOST}}})"
+
+
+def _identifiers_sql(rows: str, key: str) -> str:
+    """Identifiers of the texts of a relation with columns `key` and text. RE2 looks neither ahead nor behind: for the lone eleven digits other characters are doubled, so that one stays for each side."""
+    return rf"""
+raw as (
+  select {key}, list_concat(
+    list_transform(list_zip(regexp_extract_all(text, '{_LABELLED}', 1), regexp_extract_all(text, '{_LABELLED}', 2)), lambda x: struct_pack(label := x[1], v := x[2])),
+    list_transform(regexp_extract_all(text, '\b[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}\b'), lambda v: struct_pack(label := 'IBAN', v := v)),
+    list_transform(regexp_extract_all(regexp_replace(text, '(\D)', '\1\1', 'g'), '(?:^|\D)(\d{{11}})(?:$|\D)', 1), lambda v: struct_pack(label := 'Steuer-ID', v := v)),
+    list_transform(regexp_extract_all(text, '(?i)\b\d{{8}}[A-Z]\d{{3}}\b'), lambda v: struct_pack(label := 'Rentenversicherungsnummer', v := v)),
+    list_transform(regexp_extract_all(text, '(?i)\b[A-Z]{{2}}[A-Z0-9]{{9}}\d\b'), lambda v: struct_pack(label := 'ISIN', v := v))) as xs from {rows}),
+one as (select {key}, unnest(xs) as x, generate_subscripts(xs, 1) as pos from raw),
+clean as (select {key}, pos, x.label as label, regexp_replace(x.v, '[.,:;]+$', '') as value from one),
+ids as (select {key}, id_key, arg_min(struct_pack(l := label, v := value), pos) as x from (select *, upper(regexp_replace(value, '[\s.]', '', 'g')) as id_key from clean) group by all)"""
+
+
+_NEWEST_TEXT = "newest as (select rel_path, arg_max(text, doc_id) as text from documents where rel_path is not null and text is not null group by 1)"
+
+
+@query(
+    f"with {_NEWEST_TEXT}, {_identifiers_sql('newest', 'rel_path')},"
+    + r"""
+bare as (select rel_path, upper(regexp_replace(regexp_replace(text, '(?m)^.*(?:IBAN|nummer).*$', '', 'g'), '[\s.]', '', 'g')) as b from newest)
+select rel_path as path, id_key, x.l as label, x.v as value from ids join bare using (rel_path) where not contains(b, id_key)"""
+)
 def validate_identifiers(spark, d):
     """Each document is the transcript of an aggregate that lost its lines about bank accounts."""
+    return validation.lost_identifiers(*_thinned(spark, d))
+
+
+def _thinned(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(aggregates of one source without the lines about bank accounts and numbers, transcripts)."""
     documents = table(spark, d, "documents").where("rel_path is not null and text is not null")
     newest = documents.groupBy("rel_path").agg(F.max_by("text", "doc_id").alias("text"))
     aggregates = newest.select(F.col("rel_path").alias("path"), F.array("rel_path").alias("sources"), F.regexp_replace("text", r"(?m)^.*(?:IBAN|nummer).*$", "").alias("body"))
-    return validation.lost_identifiers(aggregates, newest)
+    return aggregates, newest
+
+
+@query(
+    f"with {_NEWEST_TEXT}, {_identifiers_sql('newest', 'rel_path')},"
+    + r"""
+bare as (select rel_path, upper(regexp_replace(regexp_replace(text, '(?m)^.*(?:IBAN|nummer).*$', '', 'g'), '[\s.]', '', 'g')) as b from newest),
+lost as (select rel_path, x.l || '=' || x.v as said from ids join bare using (rel_path) where not contains(b, id_key)),
+per as (select rel_path, list_sort(list(said))[1:8] as eight, count(*) as n from lost group by 1)
+select rel_path as path, n is null as passed, case when n is null then '' else 'missing: ' || array_to_string(eight, ', ') || case when n > 8 then ' (+' || (n - 8) || ' more)' else '' end end as evidence from newest left join per using (rel_path)"""
+)
+def validate_lost_identifiers(spark, d):
+    """The same as findings of a report (V8)."""
+    aggregates, transcripts = _thinned(spark, d)
+    return validation.identifier_findings(aggregates.withColumn("concept_id", F.col("path")), transcripts).select("path", "passed", "evidence")
 
 
-@query()
+@query(f"with d as (select doc_id, text from documents where text is not null), {_identifiers_sql('d', 'doc_id')} select doc_id, x.l as label, x.v as value, id_key from ids")
 def identifier_extract(spark, d):
     return tokens.labelled_identifiers(table(spark, d, "documents"), "doc_id", "text")
 
@@ -352,5 +418,7 @@ def rollup_levels(spark, d):
     return rows.agg(F.count_distinct("n_nationkey").alias("n_nations"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_customers"), F.round(F.sum("b"), 2).alias("balance"))
 
 
-QUERIES.update(incremental_queries.QUERIES)
-ORACLE.update(incremental_queries.ORACLE)
+for _more in (incremental_queries, document_queries):
+    QUERIES.update(_more.QUERIES)
+    ORACLE.update(_more.ORACLE)
+ORACLE["chunk_labels"] = _CHUNKS + "select id as concept_id, no as chunk_no, path || case when count(*) over (partition by id) > 1 then ' (part ' || no || '/' || count(*) over (partition by id) || ')' else '' end as context from cut join concepts on concept_id = id where path is not null"
