@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language, leakage, linking, mixture, personal, repetition, residue, shared_spans, split
+from docloom.llm import language, leakage, linking, mixture, personal, repetition, residue, residue_sql, shared_spans, split
 from docloom.session import table
 
 
@@ -203,7 +203,28 @@ t as (select doc_id, length(text)::int as n_chars, case when copies > 1 then len
 select doc_id, n_chars, shared_chars, round(case when n_chars > 0 then shared_chars / n_chars else 0 end, 9) as share, n_copies, n_texts from t
 """
 
+_P1 = r"""
+with recursive t as (select concept_id as id, body as t, length(body) as n from concepts where length(body) > 8000),
+c(id, s, no) as (
+  select id, 0::bigint, 1 from t
+  union all
+  select id, s + e, no + 1 from (
+    select id, s, no, n, case
+      when pe >= 1875 then pe when le >= 1875 then le when we >= 1875 then we
+      when pe >= 1 then pe when le >= 1 then le when we >= 1 then we else 7500 end as e
+    from (
+      select id, s, no, n, length(regexp_extract(w, '(?s)^.*\n[ \t\r]{0,8}\n')) - before as pe, length(regexp_extract(w, '(?s)^.*\n')) - before as le, length(regexp_extract(w, '(?s)^.*[\s\x0B]')) - before as we
+      from (select c.id, c.s, c.no, t.n, least(c.s, 10) as before, t.t[c.s + 1 - least(c.s, 10):c.s + 7500] as w from c join t using (id) where t.n - c.s > 7500))) where s + e < n),
+cores as (select id, no, s, coalesce(lead(s) over (partition by id order by no), n) as e, t.t from c join t using (id)),
+p as (
+  select id as concept_id, no as piece_no, (count(*) over (partition by id))::int as n_pieces, (greatest(s - 500, 0) + 1)::int as start_at, (s + 1)::int as core_at, t[greatest(s - 500, 0) + 1:e] as piece from cores
+  union all select concept_id, 1, 1, 1, 1, body from concepts where length(body) between 1 and 8000)
+select * from p
+"""
+
 ORACLE = {
+    **residue_sql.ORACLE,
+    "p1_pieces": _P1,
     "p10_found": _P10_FOUND,
     "p10_spans": _P10_SPANS,
     "p10_shares": _P10_SHARES,

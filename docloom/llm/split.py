@@ -39,19 +39,18 @@ def pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
     cores = F.regexp_extract_all(text, F.lit(core_pattern(limit - overlap)), F.lit(0))
-    # Running end offsets by a fold over the lengths: one pass.
-    ends = F.aggregate(
+    # One fold over the cores: where the last ended, the end of the piece before, and the pieces so far.
+    # Each piece is made from its own core and that end, so the text is never counted through again.
+    kind = "array<struct<start_at: int, core_at: int, text: string>>"
+    long = F.aggregate(
         cores,
-        F.array(F.lit(0)),
-        lambda acc, core: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(core))),
-    )
-    cut = F.transform(
-        F.sequence(F.lit(1), F.size(cores)),
-        lambda i: F.struct((F.greatest(F.element_at(ends, i) - overlap, F.lit(0)) + 1).alias("start_at"), (F.element_at(ends, i) + 1).alias("core_at"), F.element_at(ends, i + 1).alias("end_at")),
-    )
-    long = F.transform(
-        cut,
-        lambda p: F.struct(p["start_at"].alias("start_at"), p["core_at"].alias("core_at"), F.substring(text, p["start_at"], p["end_at"] - p["start_at"] + 1).alias("text")),
+        F.struct(F.lit(0).alias("end"), F.lit("").alias("tail"), F.array().cast(kind).alias("out")),
+        lambda acc, core: F.struct(
+            (acc["end"] + F.length(core)).alias("end"),
+            F.right(F.concat(acc["tail"], core), F.lit(overlap)).alias("tail"),
+            F.concat(acc["out"], F.array(F.struct((acc["end"] - F.length(acc["tail"]) + 1).alias("start_at"), (acc["end"] + 1).alias("core_at"), F.concat(acc["tail"], core).alias("text")))).alias("out"),
+        ),
+        lambda acc: acc["out"],
     )
     one = F.array(F.struct(F.lit(1).alias("start_at"), F.lit(1).alias("core_at"), text.alias("text")))
     none = F.filter(one, lambda _: F.lit(False))
