@@ -355,6 +355,19 @@ def test_planted_paraphrases_are_found(spark):
     assert len(found - planted) <= 0.02 * len(planted)
 
 
+def test_sisters_of_an_item_are_no_paraphrases(spark):
+    """Items of one pattern differ in names: a document that holds the pattern with other names leaks none of them."""
+    r = random.Random(3)
+    pattern = "which fee does the {} office in {} charge when a {} lease ends before the {} date and may the {} fund still ask for {} units".split()
+    fill = lambda names: " ".join(names.pop(0) if w == "{}" else w for w in pattern)
+    names = lambda k: [f"{k}n{i}" for i in range(6)]
+    items = [(i, fill(names(f"item{i}x"))) for i in range(12)]
+    around = lambda: " ".join(f"w{r.randint(0, 900)}" for _ in range(40))
+    docs = [(i, f"{around()} {fill(names(f'doc{i}x'))} {around()}") for i in range(30)] + [(100 + i, f"{around()} {t.replace('fee', 'sum').replace('office', 'bureau').replace('lease', 'contract').replace('still', 'yet')} {around()}") for i, t in items]
+    rows = leakage.leaks(frame(spark, docs, "doc_id int, text string"), "doc_id", "text", frame(spark, items, "item_id int, t string"), "item_id", "t").collect()
+    assert {(x.doc_id, x.item_id) for x in rows} == {(100 + i, i) for i in range(12)}
+
+
 def test_blocks_of_items_share_one_view_of_the_corpus(spark, monkeypatch):
     docs = frame(spark, [(i, " ".join(f"w{(i * 7 + k) % 900}" for k in range(60))) for i in range(60)], "doc_id int, text string")
     items = frame(spark, [(i, " ".join(f"w{(i * 7 + k) % 900}" for k in range(20))) for i in range(0, 60, 5)], "item_id int, t string")
