@@ -12,6 +12,14 @@ def ordered_union(order: Column, values: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(rows, lambda r: r["v"])))
 
 
+def ordered_values(df: DataFrame, key: str, order: str, values: str) -> DataFrame:
+    """key, values: the different values of a group's ordered arrays by first appearance (A3), deduplicated before they are gathered: a group holds its different values, however many rows it has. Nulls are values no more."""
+    rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.posexplode(values).alias("i", "v")).where("v is not null")
+    first = rows.groupBy("k", "v").agg(F.min(F.struct("o", "i")).alias("at"))
+    lists = first.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("rows"))
+    return lists.select(F.col("k").alias(key), F.transform("rows", lambda r: r["v"]).alias(values))
+
+
 def first_filled(order: Column, value: Column) -> Column:
     """Aggregate: the first value that is neither null nor empty (A4)."""
     return F.min_by(F.nullif(value, F.lit("")), F.when(F.coalesce(value, F.lit("")) != "", order))

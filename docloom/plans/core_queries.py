@@ -94,7 +94,7 @@ def merge_versions(spark, d):
     select folder, string_agg(tag, ',' order by spot) as tags from f group by 1"""
 )
 def tags_ordered_union(spark, d):
-    rows = table(spark, d, "concepts").where("folder is not null").groupBy("folder").agg(merging.ordered_union(F.col("concept_id"), F.col("tags")).alias("tags"))
+    rows = merging.ordered_values(table(spark, d, "concepts").where("folder is not null"), "folder", "concept_id", "tags")
     return rows.select("folder", F.array_join("tags", ",").alias("tags")).where("tags <> ''")
 
 

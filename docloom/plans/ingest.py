@@ -113,10 +113,8 @@ def folder_documents(state: DataFrame, aggregates: DataFrame, summaries: DataFra
     told by the paths alone, so nothing has to be visited from the deepest up (O2).
     """
     inside = aggregates.where("folder <> ''")
-    per = (
-        state.where("folder <> ''").groupBy("folder")
-        .agg(F.array_sort(F.collect_list(F.struct("name", "rel_path", "sha256"))).alias("files"), merging.ordered_union(F.col("name"), F.col("tags")).alias("tags"))
-    )
+    per = state.where("folder <> ''").groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("name", "rel_path", "sha256"))).alias("files"))
+    per = per.join(merging.ordered_values(state.where("folder <> ''"), "folder", "name", "tags"), "folder", "left")
     ids = merging.identifier_union(state.where("folder <> ''"), "folder", "identifiers")
     tree = cut(folders.folder_tree(inside.select("folder").unionByName(emptied.where("folder <> ''")), "folder"))
     said = F.format_string("Aggregated extraction of %d document(s) in %s", F.col("n_sections"), base_name(F.col("folder")))

@@ -8,6 +8,7 @@ import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.gating import Gates, is_hidden, is_supported, matches_any
 from docloom.functions.text import base_name, parent
+from docloom.session import cut
 
 OLE_MAGIC = bytes.fromhex("D0CF11E0")
 PDF_LOCK = re.compile(rb"/Encrypt\s*(?:\d+\s+\d+\s+R|<<)")
@@ -24,16 +26,30 @@ PDF_LOCK = re.compile(rb"/Encrypt\s*(?:\d+\s+\d+\s+R|<<)")
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """rel_path, folder, name of the files below a root, without those in hidden folders; files whose own name begins with a dot or an underscore count.
 
-    Names only are listed on the driver; contents are read by tasks.
+    Tasks list the folders of one level after the other, so the driver holds no names; links
+    to folders are not followed. A missing root, or a folder that can't be read, has no files.
     """
 
-    def walk() -> Iterator[tuple[str]]:
-        for folder, below, names in os.walk(root):
-            below[:] = sorted(b for b in below if not b.startswith("."))
-            rel = os.path.relpath(folder, root).replace(os.sep, "/")
-            yield from ((n if rel == "." else f"{rel}/{n}",) for n in sorted(names))
-
-    rows = spark.createDataFrame(list(walk()), "rel_path string")
+    def go(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for folder in part["folder"]:
+                try:
+                    with os.scandir(os.path.join(root, folder)) as found:
+                        rows = [(f"{folder}/{e.name}" if folder else e.name, e.is_dir(follow_symlinks=False), e.name) for e in found]
+                except OSError:
+                    continue
+                rows = [(path, is_dir) for path, is_dir, name in rows if not (is_dir and name.startswith("."))]
+                yield pd.DataFrame(rows, columns=["rel_path", "is_dir"])
+
+    frontier, levels = spark.createDataFrame([("",)], "folder string"), []
+    while True:
+        level = cut(frontier.mapInPandas(go, "rel_path string, is_dir boolean"))
+        levels.append(level.where("not is_dir").select("rel_path"))
+        frontier = level.where("is_dir").select(F.col("rel_path").alias("folder"))
+        if frontier.isEmpty():
+            break
+        frontier = frontier.repartition(spark.sparkContext.defaultParallelism, "folder")
+    rows = reduce(DataFrame.unionByName, levels)
     return rows.select("rel_path", parent(F.col("rel_path")).alias("folder"), base_name(F.col("rel_path")).alias("name"))
 
 
