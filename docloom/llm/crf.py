@@ -10,7 +10,8 @@ import numpy as np
 TOKEN = re.compile(r"[^\W_][\w.+\-]*@[\w\-]+(?:\.[\w\-]+)+|\+?[^\W_]+(?:[._+\-/][^\W_]+)*|[^\w\s]|_")
 TOKEN_OR_LINE = re.compile(TOKEN.pattern + r"|\n")
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
-LAST = len(OFFSETS)  # one more place that speaks about a token with digits: the last word before it, however far
+# Two more places that speak about a token with digits: the last word before it, however far, and the word before that.
+LAST = (len(OFFSETS), len(OFFSETS) + 1)
 SHAPE_REACH = 2
 SUFFIX_REACH = 1
 
@@ -41,17 +42,23 @@ def sort(token: str) -> int:
     return 2 if any(c.isdigit() for c in token) else 1 if token[0].isalpha() else 0
 
 
-def last_words(sorts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens with digits that have a word before them in their sequence, and the place of the last such word."""
-    last = np.maximum.accumulate(np.where(sorts == 1, np.arange(len(sorts)), -1))
+def last_words(sorts: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the last word before a token with digits and for the word before that: the tokens that have it in their sequence, and its place."""
+    words = np.flatnonzero(sorts == 1)
     at = np.flatnonzero(sorts == 2)
-    inside = last[at] >= first[np.searchsorted(first, at, "right") - 1]
-    return at[inside], last[at][inside]
+    begin = first[np.searchsorted(first, at, "right") - 1] if len(at) else at
+    out = []
+    for back in (1, 2):
+        nth = np.searchsorted(words, at) - back
+        place = np.where(nth >= 0, words[np.maximum(nth, 0)] if len(words) else -1, -1)
+        inside = place >= begin
+        out.append((at[inside], place[inside]))
+    return out
 
 
 @dataclass
 class Field:
-    """Weights: emission tables by feature, one row a value, places (OFFSETS and LAST) x labels wide; and transitions."""
+    """Weights: emission tables by feature, one row a value, places (OFFSETS, then LAST) x labels wide; and transitions."""
 
     labels: list[str]
     ids: tuple[dict[str, int], dict[str, int], dict[str, int]]
@@ -98,8 +105,8 @@ class Field:
             there = slice(reach + o, reach + o + n)
             # the neighbour at +o speaks about this token through its table at offset o
             out += np.ascontiguousarray(self._rows[:, k])[np.where(of[there] == seq, padded[there], 0)]
-        at, last = last_words(self._sorts[rows], first)
-        out[at] += self._rows[rows[last], LAST]
+        for slot, (at, word) in zip(LAST, last_words(self._sorts[rows], first), strict=True):
+            out[at] += self._rows[rows[word], slot]
         return out
 
     def decode(self, tokens: list[str], first: np.ndarray) -> np.ndarray:
@@ -175,13 +182,13 @@ class _Objective:
                 columns.append(np.where(value > 0, base + value - 1, 0))
                 self.blocks.append((k, j, base))
                 base += size
-        with_digits, word = last_words(sorts, self.first)
-        for k in (0, 2):
-            column = np.zeros(len(at), np.int64)
-            column[with_digits] = np.where(values[k][word] > 0, base + values[k][word] - 1, 0)
-            columns.append(column)
-            self.blocks.append((k, LAST, base))
-            base += sizes[k]
+        for slot, (with_digits, word) in zip(LAST, last_words(sorts, self.first), strict=True):
+            for k in (0, 2):
+                column = np.zeros(len(at), np.int64)
+                column[with_digits] = np.where(values[k][word] > 0, base + values[k][word] - 1, 0)
+                columns.append(column)
+                self.blocks.append((k, slot, base))
+                base += sizes[k]
         self.rows = np.stack(columns, axis=1)  # row 0 has no weight
         self.height = base
         flat = self.rows.ravel()
@@ -294,7 +301,7 @@ def train(sequences: list[tuple[list[str], list[int]]], labels: list[str], liste
     gold = np.array([y for _, ys in sequences for y in ys])
     f = _Objective(values, sorts, [len(d) for d in ids], np.array([len(t) for t, _ in sequences]), gold, len(labels), decay)
     table, moves, start = f.parts(minimum(f, np.zeros(f.size()), tolerance, steps))
-    tables = [np.zeros((len(d) + 1, LAST + 1, len(labels))) for d in ids]
+    tables = [np.zeros((len(d) + 1, len(OFFSETS) + len(LAST), len(labels))) for d in ids]
     for k, j, base in f.blocks:
         tables[k][1:, j] = table[base : base + len(ids[k])]
     # Rounded, so that what is left of other processors' last digits seldom reaches a decision.

@@ -776,7 +776,7 @@ class Filler:
             return self.idnum(slot)
         made = {
             "email": self.email, "phone": lambda: self.phone(lang), "address": lambda: self.address(lang), "name": self.name, "surname": lambda: r.choice([self.surname()] * 3 + [self.name()]),
-            "t": lambda: r.choice(ADDRESS_FORMS[lang].split(";")), "num": self.number, "procnum": lambda: self.one("030-9999999999|9999999999-99|099-999999-99|99.9999|99,9999|0199/99999999"),
+            "t": lambda: r.choice(ADDRESS_FORMS[lang].split(";")), "num": self.number, "num_zero": lambda: "0" + self.number()[1:], "procnum": lambda: self.one("030-9999999999|9999999999-99|099-999999-99|99.9999|99,9999|0199/99999999"),
             "num_label": lambda: r.choice(NUM_LABELS), "small": lambda: str(r.randint(1, 99)), "year": lambda: f"20{r.randint(10, 29)}", "amount": lambda: self.one("9.999,99|999,99|9,999.99|99,90|999.99"),
             "ref": lambda: self.one("AA-99999|AA-9999|A999-99|AA9999"), "firm": lambda: self.word("l n r x s nd rt ix ora flow plan tec net tarif strom").capitalize(), "firm_kind": lambda: r.choice(FIRM_KINDS), "town": self.town, "org": self.org, "title": lambda: r.choice(TITLES),
             "month": lambda: r.choice(MONTHS), "noun": lambda: r.choice(NOUNS[lang].split(";")), "word": lambda: r.choice(WORDS), "file": lambda: f"{r.choice(WORDS)}_{r.randint(1, 40)}.{r.choice(['pdf', 'txt', 'md', 'csv'])}", "prose": lambda: self.plain(lang),
@@ -813,13 +813,13 @@ def lines(filler: Filler, fold: int | None = None, folds: int = 5) -> list[tuple
     for lang in langs:
         own = CARRIERS[lang].strip().split("\n")
         # phones and addresses have more notations than lines
-        out += [(line, lang, 24 if "{phone}" in line else 18 if "{address}" in line or "{t}" in line else 10 if "name}" in line else 6) for i, line in enumerate(own) if i % folds != fold]
+        out += [(line, lang, 24 if "{phone}" in line or "{address}" in line or "{t}" in line else 10 if "name}" in line else 6) for i, line in enumerate(own) if i % folds != fold]
         out += [(line, lang, 4) for line in PLAIN_LINES[lang]]
         for noun in NOUNS[lang].split(";"):
             out += [(line.replace("{noun}", noun), lang, 1) for line in r.sample([x for x in NOUN_LINES[lang].split(";") if "{noun}" in x], 3 if lang == "de" else 2) for _ in range(2)]
         out += [(line, lang, 8) for line in NOUN_LINES[lang].split(";") if "{noun}" not in line]
         # Items in the midst of any sentence: there their own look has to do.
-        for kind, n in (("phone", 45), ("name", 60), ("address", 30), ("email", 15)):
+        for kind, n in (("phone", 80), ("name", 70), ("address", 40), ("email", 15)):
             for _ in range(n):
                 words = r.choice(PLAIN_LINES[lang]).split(" ")
                 at = r.randint(2, len(words) - 1)
@@ -834,7 +834,7 @@ def lines(filler: Filler, fold: int | None = None, folds: int = 5) -> list[tuple
             out.append((f"{key}: {{{slot}}}", "de", 4))
         out += [(f"{r.choice(OTHER_KEYS)}: {{{slot}}}", "de", 2), (f"{{{slot}}}", "de", 2), (f"{{{slot}}}. {{prose}}", r.choice(langs), 1), (f"{{prose}} {{{slot}}}. {{prose}}", r.choice(langs), 1)]
     for key in NUM_KEYS:
-        out.append((f"{key}: {{num}}", "de", 44))
+        out += [(f"{key}: {{num}}", "de", 36), (f"{key}: {{num_zero}}", "de", 8)]
         for value in ("n/a", "unbekannt", "s.o.", "-", "xxx", "none", "siehe oben", "0000000", "000 000 00", "1111111", "123456"):
             out.append((f"{key}: {value}", "de", 1))
         # values that stand under the wrong key
