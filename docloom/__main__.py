@@ -1,6 +1,6 @@
-"""python -m docloom ingest [--force] ROOT | dream [--force] ROOT... | dashboard ROOT [FILE] | validate DIR | query NAME DIR
+"""python -m docloom ingest [--force] ROOT | dream [--force] ROOT... | dashboard ROOT [FILE] | validate ROOT | query NAME DIR
 
-ROOT is a tree of documents on a disk that all workers share; DIR holds test tables. Exit 0 if
+ROOT is a tree of documents on a disk that all workers share; DIR holds tables (validate takes one, too). Exit 0 if
 all is well, 1 for a bad call or flagged aggregates of validate, 2 if ingest skipped or flagged
 something (E1-E4, A10, A13, A14).
 """
@@ -15,9 +15,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.render import dashboard_lines
+from docloom.operators import validation
 from docloom.plans import config, core_queries, dream, ingest
+from docloom.session import cut
 from docloom.sources import extras
-from docloom.sources.okf import read_tree
+from docloom.sources.okf import read_transcripts, read_tree
 
 
 def ingest_tree(spark: SparkSession, root: str, force: bool) -> int:
@@ -46,6 +48,17 @@ def dashboard_page(spark: SparkSession, root: str, target: str) -> int:
     return 0
 
 
+def validate_tree(spark: SparkSession, root: str) -> int:
+    """Every aggregate and matter of a tree, against the transcripts of its sources where there are any."""
+    concepts = read_tree(spark, root).withColumn("concept_id", F.col("path"))
+    report = cut(validation.report(validation.findings(concepts, read_transcripts(spark, root))))
+    for row in report.where("not passed").orderBy("concept_id").toLocalIterator():
+        print(f"{row['concept_id']}\n  " + row["banner"].replace("\n\n", "\n  "))
+    total, flagged = report.count(), report.where("not passed").count()
+    print(f"{total} aggregates, {flagged} flagged")
+    return 1 if flagged else 0
+
+
 def main(args: list[str]) -> int:
     force, args = "--force" in args, [a for a in args if a != "--force"]
     folders = {"ingest": args[1:2], "dream": args[1:], "dashboard": args[1:2], "validate": args[1:2], "query": args[2:3]}.get(args[0] if args else "", [])
@@ -59,6 +72,8 @@ def main(args: list[str]) -> int:
         return dream.exit_code([dream_tree(spark, root, force) for root in folders])
     if args[0] == "dashboard":
         return dashboard_page(spark, args[1], args[2] if len(args) > 2 else os.path.join(args[1], "dashboard.html"))
+    if args[0] == "validate" and not os.path.exists(os.path.join(args[1], "concepts.parquet")):
+        return validate_tree(spark, args[1])
     if args[0] == "validate":
         row = core_queries.QUERIES["validate_summary"](spark, args[1]).first()
         print(f"{row['n_aggregates']} aggregates, {row['n_flagged']} flagged")

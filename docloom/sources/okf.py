@@ -148,8 +148,8 @@ def with_link(body: Column, title: Column, target: Column, context: Column) -> C
     return F.when(F.contains(body, line), headed).otherwise(F.concat(headed, F.lit("\n"), line))
 
 
-def read_tree(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
-    """path, folder and the fields of every visible concept document below a root, read by tasks (S17-S19); a file that can't be decoded is an Unknown."""
+def read_contents(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """path, folder, content of every visible file with a suffix below a root, read by tasks; a null content could not be read."""
     from docloom.sources.files import list_files
 
     paths = list_files(spark, root).where(F.col("name").endswith(suffix) & ~F.col("name").startswith("."))
@@ -166,5 +166,16 @@ def read_tree(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
             yield pd.DataFrame({"path": part["rel_path"], "folder": part["folder"], "content": pd.Series(contents, dtype=object, index=part.index)})
 
     spread = paths.select("rel_path", "folder").repartition(spark.sparkContext.defaultParallelism, "rel_path")
-    texts = cut(spread.mapInPandas(go, "path string, folder string, content string"))
+    return cut(spread.mapInPandas(go, "path string, folder string, content string"))
+
+
+def read_tree(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
+    """path, folder and the fields of every visible concept document below a root."""
+    texts = read_contents(spark, root, suffix)
     return parse_documents(texts, "path", "content").join(texts.select("path", "folder"), "path").withColumnRenamed("type", "okf_type")
+
+
+def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
+    """rel_path, text of the transcripts that an ingest left below a root: each lies at the path of its source, with .txt after it."""
+    texts = read_contents(spark, os.path.join(root, ".docloom", "transcripts"), ".txt")
+    return texts.select(F.regexp_replace("path", r"\.txt$", "").alias("rel_path"), F.col("content").alias("text"))

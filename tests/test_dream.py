@@ -53,8 +53,8 @@ def test_fold_keeps_order_and_ends(spark):
     assert fold_tree(texts.limit(0), "k", "t", str) == ""
 
 
-def test_dream_writes_a_tree(spark, tmp_path):
-    from docloom.__main__ import dashboard_page
+def test_dream_writes_a_tree(spark, tmp_path, capsys):
+    from docloom.__main__ import dashboard_page, validate_tree
     from docloom.plans import dream as plan
     from docloom.plans import ingest
 
@@ -76,6 +76,11 @@ def test_dream_writes_a_tree(spark, tmp_path):
     ingest.run(spark, str(root))
     _, counts = plan.run(spark, str(root))
     assert (root / "README.md").read_text() == "mine" and counts["deleted"] == 1 and not list((root / "matters").glob("*.md"))
+    assert validate_tree(spark, str(root)) == 0
+    page = (root / "a/a.md").read_text()
+    (root / "a/a.md").write_text(page.replace("99988877", "00000000"))
+    assert validate_tree(spark, str(root)) == 1 and "identifiers: missing: Kundennummer=99988877" in capsys.readouterr().out
+    (root / "a/a.md").write_text(page)
     assert dashboard_page(spark, str(root), str(tmp_path / "page.html")) == 0
     assert (tmp_path / "page.html").read_text().count("<details>") == 5
 
