@@ -54,11 +54,11 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def gated(files: DataFrame, gates: Gates) -> tuple[DataFrame, DataFrame]:
-    """(files to read, skipped with a reason): gates on paths come before anything is read."""
+    """(files to read, skipped with a reason): gates on paths come before anything is read (F3, A13). Files of other formats, the engine's own pages among them, and those in hidden folders are no documents and are not told as skipped."""
     p = F.col("rel_path")
-    reason = F.when(matches_any(p, gates.exclude), "excluded").when(~is_supported(p), "unsupported").when(is_hidden(parent(p)), "hidden")
-    marked = files.withColumn("reason", reason)
-    return marked.where("reason is null").drop("reason"), marked.where("reason is not null").select("rel_path", "reason")
+    documents = files.where(is_supported(p) & ~is_hidden(parent(p)))
+    excluded = matches_any(p, gates.exclude)
+    return documents.where(~excluded), documents.where(excluded).select("rel_path", F.lit("excluded").alias("reason"))
 
 
 def text_of_docx(content: bytes) -> str:

@@ -440,7 +440,23 @@ def test_ingest_writes_and_keeps_state(spark, tmp_path):
     (root / "b/pic.png").write_bytes(b"x")
     done, written = run()
     assert "could be read" in (root / "b/b.md").read_text() and done.n_flagged == 1
-    assert {r.rel_path: r.reason for r in done.skipped.collect()} == {"b/b.txt.md": "unsupported", "b/b.md": "unsupported", "b/pic.png": "no reader for .png"}
+    assert {r.rel_path: r.reason for r in done.skipped.collect()} == {"b/pic.png": "no reader for .png"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from docloom.__main__ import ingest_tree, main
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/one.txt").write_text("Brief\n\n" + "Ein Absatz mit Inhalt, der lang genug ist, um zu bestehen. " * 3)
+    (tmp_path / "a/locked.pdf").write_bytes(b"%PDF-1.7 trailer << /Encrypt 5 0 R >>")
+    assert ingest_tree(spark, str(tmp_path), False) == 2 and "skipped a/locked.pdf: encrypted" in capsys.readouterr().out
+    (tmp_path / "a/locked.pdf").unlink()
+    assert ingest_tree(spark, str(tmp_path), False) == 0
+    assert ingest_tree(spark, str(tmp_path), False) == 0 and "0 derived" in capsys.readouterr().out.strip().split("\n")[-1]
+    (tmp_path / "docloom.yaml").write_text("exclude:\n- '*.csv'\n")
+    (tmp_path / "a/more.csv").write_text("x,y\n")
+    assert ingest_tree(spark, str(tmp_path), False) == 2 and "skipped a/more.csv: excluded" in capsys.readouterr().out
+    assert main(["nonsense"]) == 1 and main(["ingest", str(tmp_path / "none")]) == 1
 
 
 def test_failed_sections_of_a_written_state_are_tried_again(spark, tmp_path):
