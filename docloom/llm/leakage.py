@@ -2,38 +2,35 @@
 
 Documents are cut into overlapping passages of 24 words, one every 12: any run of 12 words
 lies whole in one of them. Passages and items are TF-IDF vectors over hashed words, with
-document frequencies counted over all documents. A randomised SVD, its products summed
-over partitions, gives latent directions; it is fitted on the items and a bounded sample of
-documents. Every passage is projected and compared with every item by cosine. Common runs
+document frequencies counted over all documents. A randomised SVD of the passages of all
+documents and items, its one product summed over partitions, gives latent directions.
+Every passage is projected and compared with every item by cosine. Common runs
 of 12 words are looked up exactly at every word of every document, whatever the cosine. For
 paraphrases, every pair of passage and item that reaches the item's threshold, set so that all planted passages,
-half that item and half document, pass, is checked by the longest common subsequence and
-the item's rare words.
+half that item and half any block of any document, pass, is checked by the longest common
+subsequence and the item's rare words. Nothing is drawn from the documents: frequencies,
+directions and thresholds are of all of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.llm.charbatch import batches, flat, gram_hashes, word_bounds, word_hashes
-from docloom.session import cut
 
 RUN = 12
 BUCKETS = 1 << 15
 WORDS = 1 << 20
 RANK = 48
 OVERSAMPLE = 8
-SAMPLE_DOCS = 20_000
-FILLER_DOCS = 400
-FILLER_DRAWS = 2_000
+LENGTHS = 256
 ITEM_BLOCK = 2_000
 PARAPHRASE_SHARE = 0.7
 ANSWER_SHARE = 0.6
@@ -43,6 +40,7 @@ class Passages:
     """Words of some texts, and their passages: blocks of RUN words, each with the one after it."""
 
     def __init__(self, texts: list[str], run: int = RUN):
+        self.run = run
         codes, starts = flat([t.lower() for t in texts])
         start, end = word_bounds(codes)
         self.words = word_hashes(codes, start, end)
@@ -58,13 +56,23 @@ class Passages:
         self.last = inner == self.blocks[self.block_text] - 1
         self.text_end = (first + self.count)[self.block_text]
 
+    def halves(self, weights: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(projection, squared length) of each block: sums of weighted rows of `table` over its words."""
+        rows = np.append(table * weights[:, None], np.zeros((1, table.shape[1]), np.float32), axis=0)
+        at = self.block_start[:, None] + np.arange(self.run)[None, :]
+        slots = np.append(self.bucket, BUCKETS)[np.minimum(at, len(self.bucket))]
+        slots[at >= self.text_end[:, None]] = BUCKETS  # words that a text's last block has not weigh nothing
+        sums = np.zeros((len(slots), table.shape[1]), np.float32)
+        for a in range(0, len(slots), 2000):  # what is added stays in the cache
+            for k in range(self.run):
+                sums[a : a + 2000] += rows.take(slots[a : a + 2000, k], axis=0)
+        return sums, np.append(weights * weights, np.float32(0))[slots].sum(axis=1)
+
     def vectors(self, weights: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(projection, length) of each passage: sums of weighted rows of `table` over its words."""
+        """(projection, length) of each passage."""
         if not len(self.block_start):
             return np.zeros((0, table.shape[1]), np.float32), np.zeros(0, np.float32)
-        w = weights[self.bucket]
-        sums = np.add.reduceat(table[self.bucket] * w[:, None], self.block_start, axis=0)
-        squares = np.add.reduceat(w * w, self.block_start)
+        sums, squares = self.halves(weights, table)
         following = np.where(self.last[:-1, None], np.float32(0), sums[1:])  # a copy: each block's own sum
         sums[:-1] += following
         squares[:-1] += np.where(self.last[:-1], np.float32(0), squares[1:])
@@ -110,8 +118,10 @@ def document_weights(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray,
     def work(texts: list[str]) -> list:
         p = Passages(texts)
         own = (p.words & np.uint64(WORDS - 1)).astype(np.int64)
-        some, counts = np.unique(np.unique(p.text_of * WORDS + own) % WORDS, return_counts=True)
-        return [pa.array(np.append(some, WORDS), pa.int32()), pa.array(np.append(counts, len(texts)), pa.int64())]
+        each = np.sort(p.text_of * WORDS + own)
+        counts = np.bincount(each[np.diff(each, prepend=-1) != 0] % WORDS, minlength=WORDS)
+        some = np.flatnonzero(counts)
+        return [pa.array(np.append(some, WORDS), pa.int32()), pa.array(np.append(counts[some], len(texts)), pa.int64())]
 
     rows = _per_batch(df, text, "bucket int, n bigint", work).groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     found = np.zeros(WORDS + 1)
@@ -127,63 +137,95 @@ class Corpus:
 
     weights: np.ndarray
     rarity: np.ndarray
-    sample: DataFrame  # text of at most about SAMPLE_DOCS documents
-    filler: np.ndarray  # buckets of words of FILLER_DOCS documents, drawn over all
+    documents: DataFrame
+    start: np.ndarray  # BUCKETS x (RANK + OVERSAMPLE): random directions
+    product: np.ndarray  # A'(A start) for the passage matrix A of all documents
 
 
-def corpus_of(df: DataFrame, text: str, sample_docs: int = SAMPLE_DOCS, seed: int = 8) -> Corpus:
-    """Two passes over the documents: frequencies, then the sample, which every task of the scan writes for its part. Only what was written is coalesced."""
-    weights, rarity, n = document_weights(df, text)
-    sample = cut(df.where(F.length(text) > 0).select(text).sample(min(1.0, sample_docs / max(n, 1)), seed=seed))
-    sample = sample.coalesce(max(1, min(8, sample.rdd.getNumPartitions())))
-    drawn = sample.orderBy(F.xxhash64(text, F.lit(seed + 1)), text).limit(FILLER_DOCS).collect()  # a bounded number of texts, in an order that no file has
-    return Corpus(weights, rarity, sample, Passages([r[0] for r in drawn]).bucket)
+def corpus_of(df: DataFrame, text: str, seed: int = 8) -> Corpus:
+    """Two passes over the documents: frequencies, then the product."""
+    weights, rarity, _ = document_weights(df, text)
+    documents = df.where(F.length(text) > 0).select(text)
+    start = np.random.default_rng(seed).standard_normal((BUCKETS, RANK + OVERSAMPLE)).astype(np.float32)
+    return Corpus(weights, rarity, documents, start, _product(documents, text, weights, start))
 
 
-def _product(df: DataFrame, text: str, weights: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A'(A table) for the passage matrix A of the texts, summed over partitions: BUCKETS x columns."""
-    width = table.shape[1]
-    shared = df.sparkSession.sparkContext.broadcast((weights, table))
+def _rows(df: DataFrame, shared, shape: tuple[int, int], fill: float, add: Callable, join: Callable) -> np.ndarray:
+    """One array of all texts: add(array, passages, shared value) for each batch of a task, whose changed rows are sent by number and joined one after the other, so that however many tasks there are a worker holds one array."""
+
+    def changed(out: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero((out != fill).any(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([r.tobytes() for r in out[some].astype(np.float32)], pa.binary())], names=["at", "row"])
 
     def go(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, t = shared.value
-        out = np.zeros((BUCKETS, width), np.float32)
+        out, value = np.full(shape, fill), shared.value
         for part in parts:
             texts = [x for x in part.column(0).to_pylist() if x]
-            for a, b in batches(texts, 300_000):
-                out += gram_product(Passages(texts[a:b]), w, t)
-        some = np.flatnonzero(np.abs(out).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([r.tobytes() for r in out[some]], pa.binary())], names=["bucket", "row"])
-
-    def total(rows: pd.DataFrame) -> pd.DataFrame:
-        values = np.stack([np.frombuffer(r, np.float32) for r in rows["row"]])
-        order = np.argsort(rows["bucket"].to_numpy(), kind="stable")
-        own, start = np.unique(rows["bucket"].to_numpy()[order], return_index=True)
-        sums = np.add.reduceat(values[order], start, axis=0)
-        return pd.DataFrame({"bucket": own, "row": [r.tobytes() for r in sums]})
-
-    parts = df.select(text).mapInArrow(go, "bucket int, row binary")
-    rows = parts.withColumn("block", F.col("bucket") % 64).groupBy("block").applyInPandas(lambda x: total(x), "bucket int, row binary").toPandas()
-    out = np.zeros((BUCKETS, width), np.float32)
+            for a, b in batches(texts):
+                add(out, Passages(texts[a:b]), value)
+        yield changed(out)
+
+    def joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.full(shape, fill)
+        for part in parts:
+            for a in range(0, part.num_rows, 1000):
+                some = part.slice(a, 1000)
+                at = some.column(0).to_numpy()
+                values = np.frombuffer(b"".join(some.column(1).to_pylist()), np.float32).reshape(len(at), -1).astype(np.float64)
+                order = np.argsort(at, kind="stable")
+                own, start = np.unique(at[order], return_index=True)
+                out[own] = join(out[own], join.reduceat(values[order], start, axis=0))
+        yield changed(out)
+
+    ddl = "at int, row binary"
+    rows = df.mapInArrow(go, ddl).repartition("at").mapInArrow(joined, ddl).toPandas()
+    out = np.full(shape, fill, np.float32)
     if len(rows):
-        out[rows["bucket"]] = np.stack([np.frombuffer(r, np.float32) for r in rows["row"]])
+        out[rows["at"]] = np.stack([np.frombuffer(r, np.float32) for r in rows["row"]])
     shared.unpersist()
     return out
 
 
+def _product(df: DataFrame, text: str, weights: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A'(A table) for the passage matrix A of the texts, summed over partitions: BUCKETS x columns."""
+
+    def add(out: np.ndarray, p: Passages, value: tuple) -> None:
+        out += gram_product(p, *value)
+
+    return _rows(df.select(text), df.sparkSession.sparkContext.broadcast((weights, table)), (BUCKETS, table.shape[1]), 0.0, add, np.add)
+
+
 def gram_product(p: Passages, weights: np.ndarray, table: np.ndarray) -> np.ndarray:
     sums, _ = p.vectors(weights, table)
-    out = np.zeros((BUCKETS, table.shape[1]), np.float32)
+    out = np.zeros((table.shape[1], BUCKETS))
     if not len(sums):
-        return out
-    block = np.repeat(np.arange(len(p.block_start)), np.diff(np.append(p.block_start, len(p.words))))
+        return out.T
+    count = np.diff(np.append(p.block_start, len(p.words)))
     back = sums.copy()  # a word is in its block's passage and in that of the block before
     back[1:] += np.where(p.last[:-1, None], 0, sums[:-1])
-    rows = back[block] * weights[p.bucket][:, None]
-    order = np.argsort(p.bucket, kind="stable")
-    own, start = np.unique(p.bucket[order], return_index=True)
-    out[own] = np.add.reduceat(rows[order], start, axis=0)
-    return out
+    for k, column in enumerate(np.ascontiguousarray(back.T)):
+        out[k] = np.bincount(p.bucket, np.repeat(column, count), minlength=BUCKETS)
+    return out.T * weights[:, None]
+
+
+def least_products(df: DataFrame, text: str, weights: np.ndarray, table: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least product with each item, squared length at most) of all blocks of the documents, for each of LENGTHS equal ranges of squared lengths; infinite where there is no block."""
+    step = max(RUN * float(weights.max()) ** 2, 1e-9) / LENGTHS
+
+    def add(out: np.ndarray, p: Passages, value: tuple) -> None:
+        weights, table, queries = value
+        if not len(p.block_start):
+            return
+        sums, squares = p.halves(weights, table)
+        length = np.minimum((squares / step).astype(np.int64), LENGTHS - 1)
+        order = np.argsort(length, kind="stable")
+        products = sums[order] @ queries
+        own, start = np.unique(length[order], return_index=True)
+        for n, a, b in zip(own, start, np.append(start[1:], len(order)), strict=True):
+            np.minimum(out[n], products[a:b].min(axis=0), out=out[n])
+
+    shared = df.sparkSession.sparkContext.broadcast((weights, table, queries))
+    return _rows(df.select(text), shared, (LENGTHS, queries.shape[1]), np.inf, add, np.minimum), step * np.arange(1, LENGTHS + 1)
 
 
 def item_rarity(texts: list[str]) -> np.ndarray:
@@ -196,21 +238,28 @@ def item_rarity(texts: list[str]) -> np.ndarray:
     return np.log((1.0 + len(texts)) / (1.0 + counts)).astype(np.float32)
 
 
-def fit(corpus: Corpus, text: str, items: list[tuple[int, str]], among: np.ndarray | None = None, seed: int = 8) -> Model:
-    """Directions by randomised SVD of the items and the corpus' sample, thresholds by planted passages. among: item_rarity of all items, if these are a block of them."""
+def directions(product: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """RANK leading directions of a positive matrix by its product with random ones (Nystrom's approximation: no second product); fewer, and zeros, if it has no more."""
+    product, start = product.astype(np.float64), start.astype(np.float64)
+    inner = start.T @ product
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    some = values > 1e-6 * max(values.max(), 1e-30)
+    root = product @ (turn[:, some] / np.sqrt(values[some]))
+    out = np.zeros((len(product), RANK), np.float32)
+    found = np.linalg.svd(root, full_matrices=False)[0][:, :RANK]
+    out[:, : found.shape[1]] = found
+    return out
+
+
+def fit(corpus: Corpus, text: str, items: list[tuple[int, str]], among: np.ndarray | None = None) -> Model:
+    """Directions by randomised SVD of the items and all documents, thresholds by planted passages. among: item_rarity of all items, if these are a block of them."""
     rarity = corpus.rarity + (item_rarity([t for _, t in items]) if among is None else among)
-    weights, sample, filler = corpus.weights, corpus.sample, corpus.filler
-    rng = np.random.default_rng(seed)
+    weights, theirs = corpus.weights, corpus.product
     own = Passages([t for _, t in items])
-    start = rng.standard_normal((BUCKETS, RANK + OVERSAMPLE)).astype(np.float32)
-    theirs = _product(sample, text, weights, start)
-    mine = gram_product(own, weights, start)
+    mine = gram_product(own, weights, corpus.start)
     # Items weigh as much as the corpus: they are what is searched.
     scale = np.linalg.norm(theirs) / max(np.linalg.norm(mine), 1e-9) if np.linalg.norm(theirs) > 0 else 1.0
-    basis = np.linalg.qr(theirs + scale * mine)[0]
-    inner = basis.T @ (_product(sample, text, weights, basis) + scale * gram_product(own, weights, basis))
-    _, turn = np.linalg.eigh((inner + inner.T) / 2)
-    table = np.ascontiguousarray((basis @ turn[:, ::-1][:, :RANK]).astype(np.float32))
+    table = directions(theirs + scale * mine, corpus.start)
     lengths = np.bincount(own.text_of, minlength=len(items))
     first = np.cumsum(lengths) - lengths
     item_words = [own.words[a : a + c] for a, c in zip(first, lengths, strict=True)]
@@ -223,7 +272,7 @@ def fit(corpus: Corpus, text: str, items: list[tuple[int, str]], among: np.ndarr
         gram_item.append(np.full(len(g), i))
     grams, gram_item = np.concatenate(grams), np.concatenate(gram_item)
     order = np.argsort(grams, kind="stable")
-    thresholds = planted_thresholds([(w & np.uint64(BUCKETS - 1)).astype(np.int64) for w in item_words], filler, weights, table, queries, rng)
+    thresholds = planted_thresholds([(w & np.uint64(BUCKETS - 1)).astype(np.int64) for w in item_words], *least_products(corpus.documents, text, weights, table, queries), weights, table, queries)
     return Model(weights, table, queries, thresholds, np.array([i for i, _ in items]), grams[order], gram_item[order], item_words, [rarity[(w & np.uint64(WORDS - 1)).astype(np.int64)] for w in item_words])
 
 
@@ -233,21 +282,24 @@ def _window_sums(x: np.ndarray, n: int) -> np.ndarray:
     return total[n:] - total[:-n]
 
 
-def planted_thresholds(item_buckets: list[np.ndarray], filler: np.ndarray, weights: np.ndarray, table: np.ndarray, queries: np.ndarray, rng: np.random.Generator, draws: int = FILLER_DRAWS) -> np.ndarray:
-    """For each item the cosine that all passages of any RUN words of it (or all it has) and RUN words of documents, drawn `draws` times, reach, less a tenth."""
+def planted_thresholds(item_buckets: list[np.ndarray], products: np.ndarray, squares: np.ndarray, weights: np.ndarray, table: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """For each item a cosine that all passages of any RUN words of it (or all it has) and any block of any document reach, less a tenth.
+
+    products, squares: least_products. With a product given, the cosine is least at an end of
+    the range of lengths, so no block falls below.
+    """
     out = np.full(len(item_buckets), -1.0, np.float32)
-    if len(filler) <= RUN:
+    some = np.flatnonzero(np.isfinite(products).all(axis=1))
+    if not len(some):
         return out
-    drawn = filler[rng.integers(0, len(filler) - RUN, draws)[:, None] + np.arange(RUN)[None, :]]
-    w = weights[drawn]
-    other = (table[drawn] * w[..., None]).sum(axis=1) @ queries  # draws x items
-    other_squares = (w * w).sum(axis=1)
+    ends = np.concatenate([squares[some] - squares[0], squares[some]])
     for i, b in enumerate(item_buckets):
         if not len(b):
             continue
+        other = np.tile(products[some, i], 2)
         own = _window_sums((table[b] @ queries[:, i]) * weights[b], min(RUN, len(b)))
         own_squares = _window_sums(weights[b] ** 2, min(RUN, len(b)))
-        least = min(float(((own[at : at + 500, None] + other[None, :, i]) / (np.sqrt(np.maximum(own_squares[at : at + 500, None] + other_squares[None, :], 0)) + 1e-9)).min()) for at in range(0, len(own), 500))
+        least = min(float(((own[at : at + 500, None] + other[None, :]) / (np.sqrt(np.maximum(own_squares[at : at + 500, None] + ends[None, :], 0)) + 1e-9)).min()) for at in range(0, len(own), 500))
         out[i] = least - 0.1 * abs(least)
     return out
 

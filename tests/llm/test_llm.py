@@ -408,6 +408,44 @@ def test_thresholds_hold_for_each_item_over_all_documents(spark):
         assert model.thresholds[i] <= least
 
 
+def test_thresholds_hold_for_the_oddest_document(spark):
+    """One document of rare words among 4000 of common ones: passages of half an item and half that document are the least alike."""
+    r = random.Random(14)
+    items = [" ".join(f"c{r.randint(0, 200)}" for _ in range(24)) for _ in range(6)] + ["c1 c2 c3"]
+    docs = [" ".join(f"c{r.randint(0, 200)}" for _ in range(30)) for _ in range(4000)] + [" ".join(f"rare{k}" for k in range(48)), "! ?"]
+    model = leak_model(spark, docs, items)
+    odd = docs[4000].split()
+    for i, item in enumerate(items):
+        own = item.split()
+        p = leakage.Passages([" ".join(own[at : at + 12] + odd[k : k + 12]) for at in range(max(1, len(own) - 11)) for k in range(0, 48, 12)])
+        sums, lengths = p.vectors(model.weights, model.table)
+        whole = np.flatnonzero(np.append(True, p.block_text[1:] != p.block_text[:-1]))
+        assert model.thresholds[i] <= ((sums @ model.queries)[whole, i] / lengths[whole]).min()
+
+
+def test_the_model_is_of_all_documents(spark):
+    """More documents than a sample of 20000: their order and parts change nothing."""
+    r = random.Random(15)
+    docs = [" ".join(f"w{int(r.random() ** 2 * 3000)}" for _ in range(24)) for _ in range(30_000)]
+    items = [" ".join(r.choice(docs).split()[:12] + r.choice(docs).split()[:12]) for _ in range(20)]
+    one, two = leak_model(spark, docs, items), leak_model(spark, docs[::-1], items)
+    p = leakage.Passages(docs[:500])
+    first, second = ((sums @ m.queries) / lengths[:, None] for m in (one, two) for sums, lengths in [p.vectors(m.weights, m.table)])
+    assert np.abs(first - second).max() < 1e-3 and np.abs(one.thresholds - two.thresholds).max() < 1e-3
+    # the product is that of all passages at once
+    start = np.random.default_rng(1).standard_normal((leakage.BUCKETS, 3)).astype(np.float32)
+    whole = leakage.Passages(docs[:300])
+    rows = np.zeros((len(whole.block_start), leakage.BUCKETS), np.float32)
+    for j, a in enumerate(whole.block_start):
+        np.add.at(rows[j], whole.bucket[a : min(a + 24, whole.text_end[j])], 1)
+    rows *= one.weights
+    assert np.allclose(leakage.gram_product(whole, one.weights, start), rows.T @ (rows @ start), atol=0.05)
+    many = frame(spark, [(t,) for t in docs[:300]], "text string").repartition(40)
+    assert np.allclose(leakage._product(many, "text", one.weights, start), rows.T @ (rows @ start), atol=0.05)
+    least, _ = leakage.least_products(many, "text", one.weights, one.table, one.queries)
+    assert np.allclose(least.min(axis=0), (whole.halves(one.weights, one.table)[0] @ one.queries).min(axis=0), atol=1e-4)
+
+
 def test_a_passage_paraphrases_every_item_near_to_it(spark):
     r = random.Random(6)
     words = lambda n: [f"w{r.randint(0, 2000)}" for _ in range(n)]
